@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.functions.tables import table
-from quire.llm import encoding, leaks, lookalikes, repeated_lines, splitting
+from quire.llm import encoding, languages, leaks, lookalikes, repeated_lines, spam, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,18 @@ def p2_frequent_lines(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.frequent_lines(table(spark, d, "pages"), table(spark, d, "manifest"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.found_labels(*(table(spark, d, x) for x in ("pages", "manifest", "extracted", "documents")))
+
+
+def p3_page_languages(spark: SparkSession, d: str) -> DataFrame:
+    return languages.page_languages(*(table(spark, d, x) for x in ("pages", "manifest", "documents")))
+
+
+def p3_document_languages(spark: SparkSession, d: str) -> DataFrame:
+    return languages.document_languages(*(table(spark, d, x) for x in ("pages", "manifest", "documents")))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.found_items(table(spark, d, "pages"), table(spark, d, "chunks"))
 
@@ -57,7 +69,15 @@ def p8_removal_spans(spark: SparkSession, d: str) -> DataFrame:
     return leaks.removal_spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_normalised, p1_value_groups, p2_found, p2_cleaned_pages, p2_frequent_lines, p6_found, p6_pieces, p7_ids, p8_found, p8_removal_spans)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.found_spam(table(spark, d, "documents"))
+
+
+def p9_outliers(spark: SparkSession, d: str) -> DataFrame:
+    return spam.flagged(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_normalised, p1_value_groups, p2_found, p2_cleaned_pages, p2_frequent_lines, p3_found, p3_page_languages, p3_document_languages, p6_found, p6_pieces, p7_ids, p8_found, p8_removal_spans, p9_found, p9_outliers)}
 
 ORACLE_SQL: dict[str, str] = {
     "p6_found": """

@@ -19,7 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quire.functions.tables import latest_rows, salted_join
+from quire.functions.stages import checked_join
+from quire.functions.tables import latest_rows
 from quire.llm.codepoints import BLANK, DIGIT, LETTER, CharMap, blocks, classes, decode, hash_ranges, tabulated
 from quire.llm.lookalikes import normalise
 
@@ -108,7 +109,7 @@ def found_places(pages: DataFrame, manifest: DataFrame, **limits: float) -> Data
     """(user_id, doc_id, number, line_no): every place of a frequent line, each once."""
     frequent = frequent_lines(pages, manifest, **limits).select("source", "line_hash")
     places = page_lines(pages, int(limits.get("min_letters", MIN_LETTERS))).join(document_sources(manifest), ["user_id", "doc_id"])
-    hits = salted_join(places, frequent, ["source", "line_hash"])
+    hits = checked_join(places, frequent, ["source", "line_hash"])
     return hits.select("user_id", "doc_id", "number", "line_no").distinct()
 
 
