@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.functions.tables import table
-from quire.llm import encoding, languages, leaks, lookalikes, repeated_lines, spam, splitting
+from quire.llm import encoding, languages, leaks, lookalikes, near_duplicates, repeated_lines, spam, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +49,18 @@ def p3_document_languages(spark: SparkSession, d: str) -> DataFrame:
     return languages.document_languages(*(table(spark, d, x) for x in ("pages", "manifest", "documents")))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.found_pairs(table(spark, d, "chunks"), table(spark, d, "manifest"))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.chunk_groups(table(spark, d, "chunks"))
+
+
+def p4_subject_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.found_subjects(table(spark, d, "manifest"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.found_items(table(spark, d, "pages"), table(spark, d, "chunks"))
 
@@ -77,9 +89,13 @@ def p9_outliers(spark: SparkSession, d: str) -> DataFrame:
     return spam.flagged(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_normalised, p1_value_groups, p2_found, p2_cleaned_pages, p2_frequent_lines, p3_found, p3_page_languages, p3_document_languages, p6_found, p6_pieces, p7_ids, p8_found, p8_removal_spans, p9_found, p9_outliers)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_normalised, p1_value_groups, p2_found, p2_cleaned_pages, p2_frequent_lines, p3_found, p3_page_languages, p3_document_languages, p4_found, p4_groups, p4_subject_pairs, p6_found, p6_pieces, p7_ids, p8_found, p8_removal_spans, p9_found, p9_outliers)}
 
 ORACLE_SQL: dict[str, str] = {
+    "p4_subject_pairs": """
+        WITH s AS (SELECT DISTINCT metadata.subject AS s FROM manifest WHERE metadata.subject IS NOT NULL)
+        SELECT a.s AS key_a, b.s AS key_b FROM s a JOIN s b ON a.s < b.s AND levenshtein(a.s, b.s) <= 3
+    """,
     "p6_found": """
         SELECT DISTINCT kind, user_id, doc_id, page, part FROM (
             SELECT 'page' AS kind, user_id, doc_id, number AS page, -1 AS part, text FROM pages

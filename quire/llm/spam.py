@@ -167,23 +167,26 @@ def robust_distances(rows: DataFrame) -> DataFrame:
 
     Three aggregates over all rows, each a few numbers for a language: medians, median deviations, and
     the covariance of scores clipped at ``CLIP``. They come to the driver: their size is languages
-    times a constant, and labels outside ``LANGUAGES`` share one group. A matrix of correlations is
+    times a constant. Labels outside ``LANGUAGES`` count as 'und', the group of all rows. A matrix of correlations is
     pulled a fifth of the way to the identity, so that it can be inverted whatever the data.
     """
     rows = rows.withColumn("language", F.when(F.col("language").isin(*LANGUAGES), F.col("language")).otherwise("und"))
 
+    # a text without function words and label is measured against the rows of all languages
+    population = rows.where("language <> 'und'").unionByName(rows.withColumn("language", F.lit("und")))
+
     def medians(df: DataFrame) -> dict[str, np.ndarray]:
         found = df.groupBy("language").agg(*[F.percentile_approx(f, 0.5, 1000).alias(f) for f in FEATURES]).collect()
         return {r["language"]: np.array([r[f] for f in FEATURES]) for r in found}
 
-    scatter = Scatter(medians(rows))
+    scatter = Scatter(medians(population))
 
     def deviations(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, _ = scatter.scores(batch)
             yield pa.RecordBatch.from_arrays([batch.column("language"), *map(pa.array, np.abs(values).T)], ["language", *FEATURES])
 
-    spread = medians(rows.mapInArrow(deviations, "language string, " + ", ".join(f"{f} double" for f in FEATURES)))
+    spread = medians(population.mapInArrow(deviations, "language string, " + ", ".join(f"{f} double" for f in FEATURES)))
     least = np.array([LEAST_SCALE[f] for f in FEATURES])
     scatter.scale = {x: np.maximum(1.4826 * d, least) for x, d in spread.items()}
 
@@ -197,7 +200,7 @@ def robust_distances(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x] * len(sums)), pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums)], ["language", "place", "total"])
 
     sums: dict[str, np.ndarray] = {}
-    for r in rows.mapInArrow(products, "language string, place int, total double").groupBy("language", "place").agg(F.sum("total").alias("total")).collect():
+    for r in population.mapInArrow(products, "language string, place int, total double").groupBy("language", "place").agg(F.sum("total").alias("total")).collect():
         sums.setdefault(r["language"], np.zeros(len(FEATURES) ** 2 + 1))[r["place"]] = r["total"]
     for x, total in sums.items():
         covariance = total[:-1].reshape(len(FEATURES), -1) / total[-1]
