@@ -10,9 +10,9 @@ sequences only one of them holds, so a pair of similarity t cannot differ by mor
 verified exactly on the texts.
 
 The pivot table alone cannot propose pairs at scale without comparing all with all: two unrelated
-texts lie about as far from a reference as two related ones. The bands do that, as an equi-join.
-A pair at the threshold shares a band with probability 1 - (1 - 0.6^4)^48 = 0.9987, and one at 0.7
-with 0.999998.
+texts lie about as far from a reference as two related ones. The bands do that, as an equi-join;
+two of them must agree. At the threshold of 0.6 a pair shares two of the 64 bands with probability
+0.9985, at 0.65 with 0.99995.
 
 Subjects. Edit distance is a metric too: distances to reference strings are the coordinates, the
 grid cells of the first few propose pairs (neighbouring cells are met by an explode, so this is
@@ -36,7 +36,7 @@ from quire.llm.codepoints import DIGIT, LETTER, OTHER_NUMBER, blocks, classes, d
 from quire.llm.repeated_lines import lower_map
 
 SHINGLE, LEAST_WORDS, SIMILARITY = 3, 30, 0.6
-BANDS, ROWS = 48, 4
+BANDS, ROWS = 64, 4
 BITS, PIVOTS = 2048, 32
 EDITS, SUBJECT_PIVOTS, GRID = 3, 16, 3
 _HASHES = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -92,35 +92,58 @@ def coordinates(sequences: np.ndarray, rows: np.ndarray, table: np.ndarray) -> n
     return (held.sum(1)[:, None] + table.sum(0)[None, :] - 2 * common).astype(np.int16)
 
 
-def chunk_classes(chunks: DataFrame) -> DataFrame:
-    """(class, n, pivots, keys): one row for each distinct text of enough words."""
-    table = references()
+def class_texts(chunks: DataFrame) -> DataFrame:
+    """(class, text) of every row with a text."""
+    return chunks.where("text is not null").select(F.xxhash64("text").alias("class"), "text")
+
+
+def first_copies(block: pa.RecordBatch) -> pa.RecordBatch:
+    """The block with one row for each class: copies are dropped before anything is computed."""
+    _, at = np.unique(block.column("class").to_numpy(), return_index=True)
+    return block.take(pa.array(np.sort(at)))
+
+
+def band_keys(chunks: DataFrame) -> DataFrame:
+    """(class, key): ``BANDS`` rows for each text of enough words."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
-            # copies inside the block are dropped before anything is computed
-            _, at = np.unique(block.column("class").to_numpy(), return_index=True)
-            block = block.take(pa.array(np.sort(at)))
+        for block in map(first_copies, blocks(batches, "text")):
             sequences, rows, words = shingles(*decode(block.column("text")))
             keep = (words >= LEAST_WORDS)[rows]
             sequences, rows = sequences[keep], rows[keep]
-            if not len(rows):
-                continue
-            kept, first, number = np.unique(rows, return_index=True, return_inverse=True)
-            n = np.diff(np.append(first, len(rows)))
-            pivots, keys = coordinates(sequences, number, table), bands(sequences, first)
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())) for x in (pivots, keys.view(np.int64))]
-            yield pa.RecordBatch.from_arrays([block.column("class").take(pa.array(kept)), pa.array(n, pa.int32()), *lists], ["class", "n", "pivots", "keys"])
+            if len(rows):
+                kept, first = np.unique(rows, return_index=True)
+                keys = bands(sequences, first).view(np.int64)
+                yield pa.RecordBatch.from_arrays([block.column("class").take(pa.array(np.repeat(kept, BANDS))), pa.array(keys.ravel())], ["class", "key"])
 
-    texts = chunks.where("text is not null").select(F.xxhash64("text").alias("class"), "text")
-    return texts.mapInArrow(work, "class bigint, n int, pivots array<smallint>, keys array<bigint>").dropDuplicates(["class"])
+    return class_texts(chunks).mapInArrow(work, "class bigint, key bigint")
 
 
-def candidate_pairs(table: DataFrame) -> DataFrame:
-    """(a, b): classes that share a band key, a < b, each pair once."""
-    keys = table.select("class", F.explode("keys").alias("key"))
+def candidate_pairs(keys: DataFrame) -> DataFrame:
+    """(a, b): classes that share at least two band keys, a < b, each pair once.
+
+    Whether two keys were shared is told by the least and the greatest of them, so repeated rows
+    count once and partial sums stay two numbers a pair.
+    """
     left, right = keys.select("key", F.col("class").alias("a")), keys.select("key", F.col("class").alias("b"))
-    return left.join(right, "key").where("a < b").select("a", "b").distinct()
+    shared = left.join(right, "key").where("a < b").groupBy("a", "b").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    return shared.where("low < high").select("a", "b")
+
+
+def pivot_table(texts: DataFrame) -> DataFrame:
+    """(class, n, pivots): sequences and pivot coordinates of each class."""
+    table = references()
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in map(first_copies, blocks(batches, "text")):
+            sequences, rows, _ = shingles(*decode(block.column("text")))
+            kept, first, number = np.unique(rows, return_index=True, return_inverse=True)
+            if len(kept):
+                pivots = coordinates(sequences, number, table)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1) * PIVOTS, pa.int32()), pa.array(pivots.ravel()))
+                yield pa.RecordBatch.from_arrays([block.column("class").take(pa.array(kept)), pa.array(np.diff(np.append(first, len(rows))), pa.int32()), lists], ["class", "n", "pivots"])
+
+    return texts.mapInArrow(work, "class bigint, n int, pivots array<smallint>").dropDuplicates(["class"])
 
 
 def discard(pairs: DataFrame, table: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -132,8 +155,8 @@ def discard(pairs: DataFrame, table: DataFrame, similarity: float = SIMILARITY)
     return both.where(apart <= F.floor((1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-9)).select("a", "b")
 
 
-def verify(pairs: DataFrame, chunks: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): the pairs whose texts share at least ``similarity`` of all their sequences, counted exactly."""
+def verify(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): the pairs whose texts (class, text) share at least ``similarity`` of all their sequences, counted exactly."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "ta", "tb"):
@@ -146,23 +169,32 @@ def verify(pairs: DataFrame, chunks: DataFrame, similarity: float = SIMILARITY)
             keep = n >= similarity * (held[0][0] + held[1][0] - n) - 1e-9
             yield block.select(["a", "b"]).filter(pa.array(keep))
 
-    named = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    texts = chunks.where("text is not null").select(F.xxhash64("text").alias("class"), "text").join(named, "class", "left_semi").dropDuplicates(["class"])
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
     return both.select("a", "b", "ta", "tb").mapInArrow(work, "a bigint, b bigint")
 
 
-def class_links(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(class, n, pivots, keys) of all classes, and the verified pairs of classes."""
-    table = cut(chunk_classes(chunks))
-    survivors = cut(discard(candidate_pairs(table), table))
-    return table, verify(survivors, chunks)
+def class_links(chunks: DataFrame) -> DataFrame:
+    """(a, b): the verified pairs of classes."""
+    pairs = cut(candidate_pairs(band_keys(chunks)))
+    named = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    texts = cut(class_texts(chunks).join(named, "class", "left_semi").dropDuplicates(["class"]))
+    return verify(discard(pairs, pivot_table(texts)), texts)
+
+
+def long_classes(texts: DataFrame) -> DataFrame:
+    """(class): the classes of enough words, each once."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in map(first_copies, blocks(batches, "text")):
+            _, _, words = shingles(*decode(block.column("text")))
+            yield block.select(["class"]).filter(pa.array(words >= LEAST_WORDS))
+
+    return texts.mapInArrow(work, "class bigint").distinct()
 
 
-def members(chunks: DataFrame, table: DataFrame) -> DataFrame:
-    """(class, chunk_id), each once."""
-    rows = chunks.where("text is not null and chunk_id is not null").select(F.xxhash64("text").alias("class"), "chunk_id").distinct()
-    return rows.join(table.select("class"), "class", "left_semi")
+def members(chunks: DataFrame) -> DataFrame:
+    """(class, chunk_id) of all rows with a text, each once."""
+    return chunks.where("text is not null and chunk_id is not null").select(F.xxhash64("text").alias("class"), "chunk_id").distinct()
 
 
 def found_chunks(chunks: DataFrame) -> DataFrame:
@@ -171,11 +203,13 @@ def found_chunks(chunks: DataFrame) -> DataFrame:
     The result is defined as pairs of rows, so links of classes are joined with their members; the
     copies inside a class are paired by an equi-join on the class.
     """
-    table, links = class_links(chunks)
-    rows = members(chunks, table)
+    links = cut(class_links(chunks))
+    rows = members(chunks)
     a, b = rows.toDF("a", "x"), rows.toDF("b", "y")
     across = links.join(a, "a").join(b, "b").select("x", "y")
-    inside = a.join(b.withColumnRenamed("b", "a"), "a").where("x < y").select("x", "y")
+    copied = rows.groupBy("class").agg(F.min("chunk_id").alias("low"), F.max("chunk_id").alias("high")).where("low < high").select("class")
+    long = cut(long_classes(class_texts(chunks).join(copied, "class", "left_semi"))).toDF("a")
+    inside = a.join(long, "a").join(b.withColumnRenamed("b", "a"), "a").where("x < y").select("x", "y")
     both = across.unionByName(inside).where("x <> y")
     return both.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
@@ -224,9 +258,9 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def chunk_groups(chunks: DataFrame) -> DataFrame:
     """(chunk_id, group, n_links): every chunk of enough words once, with its group and the number of other texts it is linked to."""
-    table, links = class_links(chunks)
-    links = cut(links)
+    links = cut(class_links(chunks))
+    nodes = long_classes(class_texts(chunks))
     degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
-    named = components(table.select("class"), links).join(degree, "class", "left")
-    rows = members(chunks, table).join(named, "class")
+    named = components(nodes, links).join(degree, "class", "left")
+    rows = members(chunks).join(named, "class")
     return rows.groupBy("chunk_id").agg(F.min("group").alias("group"), F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"))
