@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quire.functions.stages import cut
+from quire.functions.stages import checked_join, cut
 from quire.llm.codepoints import DIGIT, LETTER, OTHER_NUMBER, blocks, classes, decode, hash_ranges, mix, runs
 from quire.llm.repeated_lines import lower_map
 
@@ -177,7 +177,7 @@ def class_links(chunks: DataFrame) -> DataFrame:
     """(a, b): the verified pairs of classes."""
     pairs = cut(candidate_pairs(band_keys(chunks)))
     named = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    texts = cut(class_texts(chunks).join(named, "class", "left_semi").dropDuplicates(["class"]))
+    texts = cut(checked_join(class_texts(chunks), named, ["class"], "left_semi").dropDuplicates(["class"]))
     return verify(discard(pairs, pivot_table(texts)), texts)
 
 
@@ -208,7 +208,7 @@ def found_chunks(chunks: DataFrame) -> DataFrame:
     a, b = rows.toDF("a", "x"), rows.toDF("b", "y")
     across = links.join(a, "a").join(b, "b").select("x", "y")
     copied = rows.groupBy("class").agg(F.min("chunk_id").alias("low"), F.max("chunk_id").alias("high")).where("low < high").select("class")
-    long = cut(long_classes(class_texts(chunks).join(copied, "class", "left_semi"))).toDF("a")
+    long = cut(long_classes(checked_join(class_texts(chunks), copied, ["class"], "left_semi"))).toDF("a")
     inside = a.join(long, "a").join(b.withColumnRenamed("b", "a"), "a").where("x < y").select("x", "y")
     both = across.unionByName(inside).where("x <> y")
     return both.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
