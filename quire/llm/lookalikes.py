@@ -131,6 +131,9 @@ def normalise(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         return codes, offsets, found
     mapping, flags, alike = tables()
     kinds = classes()
+    if (returns := np.flatnonzero(codes[:-1] == 13)).size and (returns := returns[(codes[returns + 1] == 10) & ~np.isin(returns + 1, offsets)]).size:
+        codes = codes.copy()
+        codes[returns] = 0x200B  # before a line feed it is drawn as nothing
     here = flags[codes]
     if (maths := np.flatnonzero(here == FLAG_MATHS)).size:
         # a mathematical letter that stands alone is notation: keep it
