@@ -15,13 +15,17 @@ BLANK = r"[\t\n\x{0b}\x{0c}\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}
 LINE_END = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}\x{1d}\x{1e}\x{85}\x{2028}\x{2029}]"
 
 
+#: The same blanks as characters.
+BLANKS = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 def collapse(c: Column) -> Column:
     """Blank runs to one space, ends stripped."""
-    return F.trim(F.regexp_replace(c, f"{BLANK}+", " "))
+    return F.regexp_replace(F.trim(F.translate(c, BLANKS, " " * len(BLANKS))), " {2,}", " ")
 
 
 def words(c: Column) -> Column:
@@ -29,8 +33,8 @@ def words(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    plain = collapse(c)
-    return F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1).cast("int")
+    plain = F.trim(F.translate(c, BLANKS, " " * len(BLANKS)))
+    return F.when(plain == "", 0).otherwise(F.size(F.split(plain, " +"))).cast("int")
 
 
 def lines(c: Column) -> Column:

@@ -20,48 +20,63 @@ DOC = ["user_id", "doc_id"]
 
 
 def distinct_pages(pages: DataFrame, *columns: str) -> DataFrame:
-    """Each page once, with its place in the document; hash partitioned by document."""
+    """Each page once, with its place in the document and the document's number of pages; hash partitioned by document."""
     chosen = pages.select(*DOC, "number", "text", *columns).repartition(*DOC)
     each = chosen.groupBy(*DOC, "number").agg(F.max(F.struct(F.coalesce("text", F.lit("")).alias("text"), *columns)).alias("s")).select(*DOC, "number", "s.*")
-    return each.withColumn("place", F.row_number().over(W.partitionBy(*DOC).orderBy("number")))
-
-
-def page_lines(pages: DataFrame, max_chars: int) -> DataFrame:
-    """One row for each line: (user_id, doc_id, number, place, i, line, stripped, key, can)."""
-    split = pages.select(*DOC, "number", "place", F.posexplode(T.lines(F.col("text"))).alias("i", "line"))
+    document = W.partitionBy(*DOC)
+    return each.withColumn("place", F.row_number().over(document.orderBy("number"))).withColumn("n_pages", F.count("*").over(document))
+
+
+def page_lines(pages: DataFrame, max_chars: int, *columns: str) -> DataFrame:
+    """One row for each line: (user_id, doc_id, number, place, n_pages, first, last, i, line, stripped, key, can).
+
+    ``first`` and ``last`` are the places of the page's first and last line with content. A page without
+    lines keeps one row, whose line is null.
+    """
+    text = F.col("text")
+    lead = F.regexp_extract(text, f"^{T.BLANK}*", 0)
+    first, last = F.size(T.lines(F.concat(lead, F.lit("x")))) - 1, F.size(T.lines(T.strip(F.concat(F.lit("x"), text)))) - 1
+    # the page's own columns are made below the generator, else they would be made again for each line
+    whole = pages.select(*DOC, "number", "place", "n_pages", *columns, first.alias("first"), last.alias("last"), T.lines(text).alias("_lines"))
+    split = whole.select(*DOC, "number", "place", "n_pages", *columns, "first", "last", F.posexplode_outer("_lines").alias("i", "line"))
     stripped = split.withColumn("stripped", T.strip(F.col("line")))
     can = F.length("stripped").between(1, max_chars) & F.col("stripped").rlike(r"\p{L}")
     return stripped.withColumn("key", T.line_key(F.col("stripped"))).withColumn("can", can)
 
 
-def boilerplate_keys(lines: DataFrame, pages: DataFrame, min_share: float, min_pages: int) -> DataFrame:
+def with_page_counts(lines: DataFrame, min_share: float, min_pages: int) -> DataFrame:
+    """The lines with ``on_pages`` (pages of the document on which such a line with this key stands) and ``least`` (the threshold).
+
+    Two windows over one order of a document's lines: no join, and no shuffle beyond the one by document.
+    """
+    once = F.row_number().over(W.partitionBy(*DOC, "key", "number").orderBy(F.desc("can"))) == 1
+    counted = lines.withColumn("_first", F.when(once & F.col("can"), 1).otherwise(0))
+    least = F.greatest(F.lit(min_pages), F.ceil(F.lit(min_share) * F.col("n_pages")))
+    return counted.withColumn("on_pages", F.sum("_first").over(W.partitionBy(*DOC, "key"))).withColumn("least", least).drop("_first")
+
+
+def boilerplate_keys(pages: DataFrame, min_share: float = 0.5, min_pages: int = 3, max_chars: int = 100) -> DataFrame:
     """(user_id, doc_id, key, n_pages): the keys over the document's threshold."""
-    on = lines.where("can").groupBy(*DOC, "key", "number").agg(F.lit(1).alias("one")).groupBy(*DOC, "key").agg(F.count("*").alias("n_pages"))
-    threshold = pages.groupBy(*DOC).agg(F.greatest(F.lit(min_pages), F.ceil(F.lit(min_share) * F.count("*"))).alias("least"))
-    return on.join(threshold, DOC).where("n_pages >= least").select(*DOC, "key", "n_pages")
+    lines = with_page_counts(page_lines(distinct_pages(pages), max_chars), min_share, min_pages)
+    return lines.where("on_pages >= least").groupBy(*DOC, "key").agg(F.max("on_pages").alias("n_pages"))
 
 
-def judged_lines(pages: DataFrame, min_share: float = 0.5, min_pages: int = 3, max_chars: int = 100) -> DataFrame:
+def judged_lines(pages: DataFrame, min_share: float = 0.5, min_pages: int = 3, max_chars: int = 100, columns: tuple[str, ...] = ()) -> DataFrame:
     """The lines with ``is_boilerplate`` and ``is_number``."""
-    each = distinct_pages(pages)
-    lines = page_lines(each, max_chars)
-    keys = boilerplate_keys(lines, each, min_share, min_pages).select(*DOC, "key", F.lit(True).alias("is_boilerplate"))
-    page = W.partitionBy(*DOC, "number")
-    content = F.when(F.col("stripped") != "", F.col("i"))
-    edge = F.col("i").isin(-1) | (F.col("i") == F.min(content).over(page)) | (F.col("i") == F.max(content).over(page))
+    lines = with_page_counts(page_lines(distinct_pages(pages, *columns), max_chars, *columns), min_share, min_pages)
+    edge = (F.col("i") == F.col("first")) | (F.col("i") == F.col("last"))
     value = F.when(F.col("stripped").rlike(r"^\d{1,4}$"), F.col("stripped").cast("int"))
-    marked = lines.withColumn("is_number", F.coalesce(edge & (value >= 1) & (F.col("place") - value).between(0, 2), F.lit(False)))
-    judged = marked.join(keys, [*DOC, "key"], "left").withColumn("is_boilerplate", F.coalesce("is_boilerplate", F.lit(False)) & (F.col("stripped") != ""))
-    return judged.withColumn("is_number", F.col("is_number") & ~F.col("is_boilerplate"))
+    boilerplate = F.coalesce((F.col("on_pages") >= F.col("least")) & (F.col("stripped") != ""), F.lit(False))
+    number = F.coalesce(edge & (value >= 1) & (F.col("place") - value).between(0, 2), F.lit(False))
+    return lines.withColumn("is_boilerplate", boilerplate).withColumn("is_number", number & ~boilerplate)
 
 
-def cleaned_pages(pages: DataFrame, min_share: float = 0.5, min_pages: int = 3, max_chars: int = 100) -> DataFrame:
-    """(user_id, doc_id, number, text): page texts without boilerplate and page numbers; every page stays."""
-    judged = judged_lines(pages, min_share, min_pages, max_chars)
-    kept = F.when(~F.col("is_boilerplate") & ~F.col("is_number"), F.struct("i", "line"))
+def cleaned_pages(pages: DataFrame, min_share: float = 0.5, min_pages: int = 3, max_chars: int = 100, columns: tuple[str, ...] = ()) -> DataFrame:
+    """(user_id, doc_id, number, text[, columns]): page texts without boilerplate and page numbers; every page stays."""
+    judged = judged_lines(pages, min_share, min_pages, max_chars, columns)
+    kept = F.when(~F.col("is_boilerplate") & ~F.col("is_number") & F.col("line").isNotNull(), F.struct("i", "line"))
     rebuilt = F.array_join(F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["line"]), "\n")
-    texts = judged.groupBy(*DOC, "number").agg(T.strip(T.squeeze_blank_lines(rebuilt)).alias("text"))
-    return distinct_pages(pages).select(*DOC, "number").join(texts, [*DOC, "number"], "left").select(*DOC, "number", F.coalesce("text", F.lit("")).alias("text"))
+    return judged.groupBy(*DOC, "number").agg(T.strip(T.squeeze_blank_lines(rebuilt)).alias("text"), *[F.max(c).alias(c) for c in columns])
 
 
 def removed_lines(pages: DataFrame, min_share: float = 0.5, min_pages: int = 3, max_chars: int = 100) -> DataFrame:

@@ -288,8 +288,7 @@ def line_keys(spark: SparkSession, d: str) -> DataFrame:
 
 @query(LINES_SQL + "SELECT user_id, doc_id, key, n_pages FROM bp")
 def boilerplate_lines(spark: SparkSession, d: str) -> DataFrame:
-    pages = cleaning.distinct_pages(table(spark, d, "pages"))
-    return cleaning.boilerplate_keys(cleaning.page_lines(pages, 100), pages, 0.5, 3)
+    return cleaning.boilerplate_keys(table(spark, d, "pages"))
 
 
 @query(REMOVED_SQL + "SELECT * FROM removed")
@@ -335,9 +334,7 @@ def _subjects(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """All pages cleaned and cut into chunks; packing carries state, so it is tested against a model in Python."""
-    pages = table(spark, d, "pages")
-    facts = pages.groupBy(*KEY, "number").agg(F.max("title").alias("title"), F.max("language").alias("language"))
-    clean = cleaning.cleaned_pages(pages).join(facts, [*KEY, "number"])
+    clean = cleaning.cleaned_pages(table(spark, d, "pages"), columns=("title", "language"))
     return chunking.make_chunks(clean, _documents_with_paths(spark, d), _subjects(spark, d))
 
 

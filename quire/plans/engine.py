@@ -117,7 +117,7 @@ class Engine:
         due = self._to_do(documents, "chunk", self.chunked.read(), force)
         pages = cut(self.pages.read().join(due.select(*KEY), KEY, "left_semi"))
         limits = asdict(c)
-        clean = cleaning.cleaned_pages(pages, **limits).join(pages.select(*KEY, "number", "title", "language"), [*KEY, "number"])
+        clean = cleaning.cleaned_pages(pages, **limits, columns=("title", "language"))
         subjects = self.spark.createDataFrame([(k, s.name) for k, s in self.settings.subjects.items()], "subject string, name string")
         chunks = cut(chunking.make_chunks(clean, due.withColumn("subject", F.col("metadata.subject")), F.broadcast(subjects), h.max_words, h.target_words, h.min_words))
         self.chunks.replace(vectors.replace_documents(self.chunks.read(), chunks, due))
