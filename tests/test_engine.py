@@ -196,3 +196,28 @@ def test_folder_stream_sees_each_content_once(spark, tmp_path):
     go()
     go()
     assert len(seen) == 2
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    from quire.__main__ import main
+
+    (tmp_path / "quire.yaml").write_text(json.dumps(CONFIG | {"sources": {"s": {"root": "s", "labelled": True}}, "data_dir": "data", "embedder_url": "http://user:secret@host"}))
+    for path, text in {"s/nets/theory/one.txt": "Routers forward packets between many networks.", "s/loose.txt": "x"}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    monkeypatch.chdir(tmp_path)
+
+    def call(*args):
+        code = main(args, spark)
+        return code, capsys.readouterr()
+
+    code, said = call("ingest")
+    assert code == 0 and "register error: 1, new: 1" in said.out and "loose.txt" in said.out and "index indexed: 1" in said.out
+    assert "one.txt p. 1" in call("search", "routers", "--subject", "nets")[1].out
+    assert call("search", "routers", "--subject", "none")[0] == 1 and call("inspect", "nothing")[0] == 1
+    assert call("inspect", "one", "--page", "1")[1].out.startswith("Routers") and "portrait" in call("inspect", "one")[1].out and "Networks" in call("inspect", "one", "--chunks")[1].out
+    code, said = call("config")
+    assert code == 0 and "secret" not in said.out and "nets" in said.out
+    assert "nothing to do" in call("extract")[1].out and call("register", "--source", "zzz")[0] == 1
+    monkeypatch.chdir("/")
+    assert call("config")[0] == 1
