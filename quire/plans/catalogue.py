@@ -66,18 +66,19 @@ def content_hash(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", extracting.content_id(F.encode("text", "UTF-8")).alias("content_id"))
 
 
-@query(f"SELECT * FROM {MANIFEST_SQL}")
+@query(f"SELECT user_id, doc_id, source, rel_path, size_bytes, metadata.subject AS subject, metadata.doc_type AS doc_type, metadata.academic_year AS academic_year, metadata.professor AS professor, epoch_us(registered_at) AS registered_us, epoch_us(updated_at) AS updated_us FROM {MANIFEST_SQL}")
 def current_manifest(spark: SparkSession, d: str) -> DataFrame:
-    return MF.current(table(spark, d, "manifest"))
+    labels = [F.col(f"metadata.{c}").alias(c) for c in ("subject", "doc_type", "academic_year", "professor")]
+    return MF.current(table(spark, d, "manifest")).select(*KEY, "source", "rel_path", "size_bytes", *labels, F.unix_micros("registered_at").alias("registered_us"), F.unix_micros("updated_at").alias("updated_us"))
 
 
 @query("""
-    SELECT user_id, doc_id, stage, version, output, completed_at FROM stages
+    SELECT user_id, doc_id, stage, version, output, epoch_us(completed_at) AS completed_us FROM stages
     WHERE output IS NOT NULL AND completed_at IS NOT NULL AND user_id IS NOT NULL AND doc_id IS NOT NULL AND stage IS NOT NULL
     QUALIFY row_number() OVER (PARTITION BY user_id, doc_id, stage ORDER BY completed_at DESC, version DESC, output DESC) = 1
 """)
 def current_stages(spark: SparkSession, d: str) -> DataFrame:
-    return MF.current_stages(table(spark, d, "stages"))
+    return MF.current_stages(table(spark, d, "stages")).select(*KEY, "stage", "version", "output", F.unix_micros("completed_at").alias("completed_us"))
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
@@ -213,10 +214,10 @@ def page_facts(spark: SparkSession, d: str) -> DataFrame:
 @query("""
     WITH p AS (SELECT user_id, doc_id, number, max(language) AS language FROM pages WHERE language IS NOT NULL GROUP BY ALL),
     c AS (SELECT user_id, doc_id, language, count(*) AS n, min(number) AS first FROM p GROUP BY ALL)
-    SELECT user_id, doc_id, list(language ORDER BY n DESC, first, language) AS languages FROM c GROUP BY ALL
+    SELECT user_id, doc_id, string_agg(language, ',' ORDER BY n DESC, first, language) AS languages FROM c GROUP BY ALL
 """)
 def document_languages(spark: SparkSession, d: str) -> DataFrame:
-    return extracting.document_languages(table(spark, d, "pages"))
+    return extracting.document_languages(table(spark, d, "pages")).select(*KEY, F.array_join("languages", ",").alias("languages"))
 
 
 @query()
@@ -459,10 +460,10 @@ def stale_points(spark: SparkSession, d: str) -> DataFrame:
     return vectors.stale_points(old, new)
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     """The streaming aggregate run over the whole table."""
-    return event_counts(table(spark, d, "events"))
+    return event_counts(table(spark, d, "events")).select(F.unix_micros(F.col("window_start").cast("timestamp")).alias("window_us"), "event_type", "n", "total")
 
 
 @query()
