@@ -85,10 +85,14 @@ def decode(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(offsets, kind)[array.offset : array.offset + len(array) + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0]
-    starts = (raw & 0xC0) != 0x80
-    if starts.all():
+    if not len(raw) or raw.max() < 0x80:
         return raw.astype(np.uint32), offsets
-    codes = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le", "surrogatepass"), np.uint32)
+    starts = (raw & 0xC0) != 0x80
+    try:
+        text = raw.tobytes().decode("utf-8")
+    except UnicodeDecodeError:  # bytes that are no UTF-8 become replacement characters
+        return decode(pa.array([x.as_py().decode("utf-8", "replace") for x in array.cast(pa.binary())], pa.string()))
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     before = np.zeros(len(raw) + 1, np.int64)
     np.cumsum(starts, out=before[1:])
     return codes, before[offsets]

@@ -91,7 +91,19 @@ def p9_outliers(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_normalised, p1_value_groups, p2_found, p2_cleaned_pages, p2_frequent_lines, p3_found, p3_page_languages, p3_document_languages, p4_found, p4_groups, p4_subject_pairs, p6_found, p6_pieces, p7_ids, p8_found, p8_removal_spans, p9_found, p9_outliers)}
 
+SUBJECTS_SQL = "SELECT DISTINCT metadata.subject AS s FROM manifest WHERE metadata.subject IS NOT NULL"
+
 ORACLE_SQL: dict[str, str] = {
+    "p4_found": rf"""
+        WITH c AS (SELECT DISTINCT chunk_id, text FROM chunks WHERE text IS NOT NULL AND chunk_id IS NOT NULL),
+        w AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM c),
+        k AS (SELECT chunk_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 30),
+        e AS (SELECT chunk_id, len(s) AS n, unnest(s) AS t FROM k),
+        p AS (SELECT a.chunk_id AS x, b.chunk_id AS y, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.t = b.t AND a.chunk_id < b.chunk_id GROUP BY ALL),
+        s AS ({SUBJECTS_SQL})
+        SELECT 'chunk' AS kind, x AS key_a, y AS key_b FROM p WHERE c >= 0.6 * (na + nb - c)
+        UNION ALL SELECT 'subject', a.s, b.s FROM s a JOIN s b ON a.s < b.s AND levenshtein(a.s, b.s) <= 3
+    """,
     "p4_subject_pairs": """
         WITH s AS (SELECT DISTINCT metadata.subject AS s FROM manifest WHERE metadata.subject IS NOT NULL)
         SELECT a.s AS key_a, b.s AS key_b FROM s a JOIN s b ON a.s < b.s AND levenshtein(a.s, b.s) <= 3

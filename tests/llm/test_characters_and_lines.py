@@ -38,6 +38,12 @@ def test_normal_form_is_stable_and_row_by_row(texts):
     assert once == [normal([t])[0][0] for t in texts]
 
 
+def test_bytes_that_are_no_text():
+    broken = pa.Array.from_buffers(pa.string(), 2, pa.array([b"ok", b"a\xffb"]).buffers())
+    codes, offsets = C.decode(broken)
+    assert C.encode(codes, offsets).to_pylist() == ["ok", "a\ufffdb"]
+
+
 def test_disguises_and_what_is_none():
     cases = {
         "a\u0301": "\u00e1", "a\u200bb": "ab", "w\u0456t\u04bb": "with", "\uff21\uff22\uff43\uff11": "ABc1", "\ufb01x": "fix", "co\u0140lecci\u00f3": "col\u00b7lecci\u00f3", "a\u00a0b": "a b", "soft\u00adhyphen": "softhyphen", "x\u2011y": "x-y",
