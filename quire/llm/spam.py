@@ -8,7 +8,8 @@ words or less entropy than usual together with more repetition, links, tags or e
 check behind it is the statement of the problem: more than half of the words stand in entries.
 
 A word stands in an entry when the words around it hold next to no function words, or few of them
-and mostly phrases that the document repeats. Words of code, tables and references do not count.
+and mostly phrases that the document repeats. Words of code, tables and references do not count,
+and a tag that runs words together counts for as many as it has times six letters.
 
 Null, empty and blank texts and texts under ``MIN_WORDS`` words are never flagged. Repeated rows
 of a document come out once. The language is the one most of the function words belong to, else
@@ -43,7 +44,7 @@ LEAST_SCALE = {"function_words": 0.03, "entropy": 0.02, "repetition": 0.05, "lin
 #: Which way spam lies: the sign of the feature's score.
 DIRECTION = {"function_words": -1, "entropy": -1, "repetition": 1, "links": 1, "tags": 1, "entries": 1, "code": 0}
 MIN_WORDS, REACH, CLIP, OUTLIER = 8, 8, 3.0, 14.07  # the last: 95 % of chi-square with as many degrees of freedom as features
-ENTRY_SHARE = 0.5
+ENTRY_SHARE, TAG_LETTERS = 0.5, 6
 
 
 @lru_cache(1)
@@ -123,7 +124,10 @@ def document_features(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
     p = count / n[rows[where]]
     entropy = np.bincount(rows[where], -p * np.log(p), n_rows) / np.log(np.maximum(n, 2))
     mean = lambda flags: np.bincount(rows, flags, n_rows) / np.maximum(n, 1)
-    for k, values in enumerate((mean(functional), entropy, mean(repeated), mean(link[token]), mean(tag[token]), mean(entry), mean(code_line[line]))):
+    # a tag runs words together: it counts as one for every TAG_LETTERS letters
+    weight = np.where(tag[token], np.maximum(1, (b - a) // TAG_LETTERS), 1)
+    entries = np.bincount(rows, entry * weight, n_rows) / np.maximum(np.bincount(rows, weight, n_rows), 1)
+    for k, values in enumerate((mean(functional), entropy, mean(repeated), mean(link[token]), mean(tag[token]), entries, mean(code_line[line]))):
         out[:, k] = values
     return out, n, language
 
