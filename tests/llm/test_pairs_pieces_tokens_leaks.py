@@ -206,3 +206,26 @@ def test_index_counts_and_locates(sequence):
         low, high = index.search(np.array([phrase]))
         at = sorted(index.positions(np.arange(low[0], high[0])).tolist())
         assert at == [i for i in range(len(sequence) - len(phrase) + 1) if sequence[i : i + len(phrase)] == phrase]
+
+
+def test_a_group_of_copies_that_holds_a_third_of_the_rows(spark):
+    rng = random.Random(21)
+    hot = " ".join(f"w{rng.randrange(300)}" for _ in range(60))
+    rows = [(f"h{i:03d}", hot) for i in range(60)] + [(f"o{i:03d}", " ".join(f"w{rng.randrange(300)}" for _ in range(60))) for i in range(120)] + [("near", hot + " one more word")]
+    df = spark.createDataFrame(rows, CHUNKS).repartition(6)
+    groups = {r["chunk_id"]: (r["group"], r["n_links"]) for r in N.chunk_groups(df).collect()}
+    assert len(groups) == 181 and len({groups[k] for k in groups if k[0] == "h"}) == 1
+    assert groups["near"][0] == groups["h000"][0] and groups["near"][1] == groups["h000"][1] == 1
+    assert len({groups[k][0] for k in groups if k[0] == "o"}) == 120
+    assert N.band_keys(df).count() <= N.BANDS * (121 + 6)  # copies inside a block are dropped before the bands
+    assert N.found_chunks(df).count() == 61 * 60 // 2
+
+
+def test_extra_columns_with_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([("a", text, 1, 1, "x"), ("b", text, 2, 2, "y")], "chunk_id string, text string, class int, key int, a string")
+    assert [tuple(r) for r in N.found_chunks(df).collect()] == [("a", "b")]
+    docs = spark.createDataFrame([(1, "some text", 5, 6)], "doc_id bigint, text string, ids int, first int")
+    assert encoding.token_ids(docs).columns == ["doc_id", "ids"]
+    items = spark.createDataFrame([(1, text, 9)], "item_id bigint, text string, doc_id int")
+    assert leaks.found_leaks(docs.withColumnRenamed("ids", "item_id"), items).count() == 0
