@@ -6,8 +6,12 @@ from pyspark.sql import Column, functions as F
 
 #: The kinds of document a folder may name.
 DOC_TYPES = ("theory", "labs", "exercises", "exams")
+#: The forms of names and years, and the two ways a file name states a year.
 SLUG = r"^[a-z0-9_]+$"
 ACADEMIC_YEAR = r"^\d{4}-\d{2}$"
+YEAR_WITH_SIGN = r"(?<!\d)(20\d{2})[-_/](\d{2}|20\d{2})(?!\d)"
+YEAR_PAIR = r"(?<!\d)(\d{4})(?!\d)"
+OUTSIDE = "no label: the file lies outside a subject folder and a document type folder"
 
 
 def two(number: Column) -> Column:
@@ -22,10 +26,9 @@ def is_academic_year(c: Column) -> Column:
 def year_from_filename(name: Column) -> Column:
     """The academic year a file name states: 20yy and the next year with a sign between, else two consecutive
     two-digit years from 10 to 50 written together; null where neither holds."""
-    explicit = r"(?<!\d)(20\d{2})[-_/](\d{2}|20\d{2})(?!\d)"
-    start, end = F.regexp_extract(name, explicit, 1), F.regexp_extract(name, explicit, 2)
+    start, end = F.regexp_extract(name, YEAR_WITH_SIGN, 1), F.regexp_extract(name, YEAR_WITH_SIGN, 2)
     stated = F.when((start != "") & ((start.cast("int") + 1) % 100 == end.cast("int") % 100), F.concat(start, F.lit("-"), two(end.cast("int") % 100)))
-    pairs = F.regexp_extract_all(name, F.lit(r"(?<!\d)(\d{4})(?!\d)"), F.lit(1))
+    pairs = F.regexp_extract_all(name, F.lit(YEAR_PAIR), F.lit(1))
     first, second = lambda p: F.substring(p, 1, 2).cast("int"), lambda p: F.substring(p, 3, 2).cast("int")
     good = F.filter(pairs, lambda p: first(p).between(10, 50) & ((first(p) + 1) % 100 == second(p)))
     compact = F.when(F.size(good) > 0, F.concat(F.lit("20"), F.substring(good[0], 1, 2), F.lit("-"), F.substring(good[0], 3, 2)))
@@ -41,7 +44,7 @@ def folder_hint(rel_path: Column) -> tuple[Column, Column, Column]:
 
 def label_error(subject: Column, known: Column, doc_type: Column, labelled: bool) -> Column:
     """Why the folders cannot label a file; null where they do, or where nothing asks for a label."""
-    unlabelled = F.lit("labelled source: file must be in <subject>/<doc_type>/ folders") if labelled else F.lit(None).cast("string")
+    unlabelled = F.lit(OUTSIDE) if labelled else F.lit(None).cast("string")
     return (
         F.when(subject.isNull(), unlabelled)
         .when(known.isNull(), F.concat(F.lit("unknown subject folder "), subject))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quire.functions import text as T
 
+#: Fixed value: the label under which removed page numbers are counted.
 PAGE_NUMBER = "(page number)"
 DOC = ["user_id", "doc_id"]
 

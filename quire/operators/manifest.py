@@ -8,6 +8,8 @@ from quire.functions.tables import all_of, latest_rows
 from quire.functions.text import escape_like
 
 KEY = ["user_id", "doc_id"]
+#: Fixed value: how documents without a label are counted.
+UNORGANISED = "(unorganised)"
 
 
 def current(manifest: DataFrame) -> DataFrame:
@@ -89,6 +91,6 @@ def stage_gate(documents: DataFrame, stages: DataFrame, stage_name: str, version
 
 def subject_counts(manifest: DataFrame) -> DataFrame:
     """(source, subject, doc_type, n): documents by label, '(unorganised)' where there is none, with totals as nulls."""
-    label = lambda c: F.coalesce(F.col(f"metadata.{c}"), F.lit("(unorganised)"))
+    label = lambda c: F.coalesce(F.col(f"metadata.{c}"), F.lit(UNORGANISED))
     rows = manifest.select("source", label("subject").alias("subject"), label("doc_type").alias("doc_type"))
     return rows.rollup("source", "subject", "doc_type").agg(F.count("*").alias("n"))

@@ -155,7 +155,7 @@ def corpus_counts(spark: SparkSession, d: str) -> DataFrame:
     WITH p AS (SELECT DISTINCT user_id, doc_id, rel_path, string_split(rel_path, '/') AS parts FROM manifest),
     k AS (SELECT DISTINCT subject FROM documents WHERE subject IS NOT NULL)
     SELECT user_id, doc_id, rel_path, CASE WHEN len(parts) >= 3 THEN parts[1] END AS folder, CASE WHEN len(parts) >= 3 THEN parts[2] END AS doc_type, parts[-1] AS file,
-    CASE WHEN len(parts) < 3 THEN 'labelled source: file must be in <subject>/<doc_type>/ folders' WHEN k.subject IS NULL THEN 'unknown subject folder ' || parts[1]
+    CASE WHEN len(parts) < 3 THEN 'no label: the file lies outside a subject folder and a document type folder' WHEN k.subject IS NULL THEN 'unknown subject folder ' || parts[1]
          WHEN parts[2] NOT IN ('theory', 'labs', 'exercises', 'exams') THEN 'unknown document type folder ' || parts[2] END AS error
     FROM p LEFT JOIN k ON len(parts) >= 3 AND k.subject = parts[1]
 """)
