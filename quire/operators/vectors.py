@@ -122,7 +122,8 @@ def search_all(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "v
 
 def _best(s: np.ndarray, i: np.ndarray, k: int) -> np.ndarray:
     """Columns of the ``k`` best of each row, ties by id."""
-    out = np.zeros((len(s), min(k, s.shape[1])), np.int64)
+    k = min(k, s.shape[1])
+    out = np.zeros((len(s), k), np.int64)
     for r in range(len(s)):
         least = np.partition(s[r], -k)[-k]
         at = np.flatnonzero(s[r] >= least)

@@ -92,6 +92,8 @@ def test_search_all_is_brute_force_in_blocks(spark):
         want = {q: {n + 1: (i, round(s, 9)) for n, (s, i) in enumerate(sorted(((round(float(unit[q] @ u), 9), i) for i, u in unit.items()), key=lambda x: (-x[0], x[1]))[:4])} for q in unit if q % 10 == 0}
         assert got == want
     assert vectors.search_all(rows, rows.limit(0)).count() == 0
+    few = rows.where("vec_id between 1 and 2")
+    assert vectors.search_all(few, few, k=5).count() == 4 and vectors.search_all(few.limit(0), few).count() == 0
 
 
 def test_hash_embedding(spark):
