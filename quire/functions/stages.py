@@ -12,12 +12,17 @@ from quire.functions.tables import salted_join
 BROADCAST_ROWS = 100_000
 
 
+def configured_folder(spark: SparkSession) -> str | None:
+    """The folder that all executors share, as the cluster names it."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a local one only where none is set, as in tests."""
     sc = spark.sparkContext
     folder = sc.getCheckpointDir()
     if folder is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quire-"))
+        sc.setCheckpointDir(configured_folder(spark) or tempfile.mkdtemp(prefix="quire-"))
         folder = sc.getCheckpointDir()
     return folder
 

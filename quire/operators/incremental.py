@@ -17,7 +17,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quire.functions.stages import shared_folder
+from quire.functions.stages import configured_folder, shared_folder
 from quire.functions.tables import latest_rows
 
 PARTITIONS = 64
@@ -115,5 +115,5 @@ def documents_to_chunk(inputs: Inputs) -> DataFrame:
 
 def state_folder(spark: SparkSession, name: str, of: str) -> str:
     """Where a result over the tables ``of`` is kept: under the cluster's shared folder, so that later runs find it."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or shared_folder(spark)
+    base = configured_folder(spark) or shared_folder(spark)
     return f"{base}/{name}-{hashlib.sha256(of.encode()).hexdigest()[:16]}"
