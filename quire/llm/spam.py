@@ -1,8 +1,11 @@
 """Problem 9: pages of search phrases, links or product tags instead of sentences.
 
 Every document gets features of density, entropy, repetition and function words. For each language
-a robust centre and scatter are computed over all documents (medians and median deviations, then a
-covariance of the clipped scores), and each document its robust Mahalanobis distance from them. A
+a robust centre and scatter are computed (medians and median deviations, then a covariance of the
+clipped scores), and each document gets its robust Mahalanobis distance from them. They are taken
+over distinct feature rows of the documents that are no candidates, so neither copies nor any share
+of spam in a language can become the centre. A language with under ``LEAST_ROWS`` of these is measured
+against those of all languages; where there are none at all, the exact check decides alone. A
 document is flagged when it is an outlier and lies in a spam-directed direction: fewer function
 words or less entropy than usual together with more repetition, links, tags or entries. The exact
 check behind it is the statement of the problem: more than half of the words stand in entries.
@@ -25,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quire.functions.stages import cut
+from quire.functions.stages import cut, is_in
 from quire.llm.codepoints import DIGIT, blocks, classes, decode, mix
 from quire.llm.leaks import folded_words
 from quire.llm.tokens import Tokens, at_text, counted
@@ -45,6 +48,8 @@ LEAST_SCALE = {"function_words": 0.03, "entropy": 0.02, "repetition": 0.05, "lin
 DIRECTION = {"function_words": -1, "entropy": -1, "repetition": 1, "links": 1, "tags": 1, "entries": 1, "code": 0}
 MIN_WORDS, REACH, CLIP, OUTLIER = 8, 8, 3.0, 14.07  # the last: 95 % of chi-square with as many degrees of freedom as features
 ENTRY_SHARE, TAG_LETTERS = 0.5, 6
+#: Distinct rows below which a language has no centre of its own.
+LEAST_ROWS = 30
 
 
 @lru_cache(1)
@@ -169,15 +174,21 @@ class Scatter:
 def robust_distances(rows: DataFrame) -> DataFrame:
     """``rows`` with ``distance`` (squared robust Mahalanobis) and ``towards`` (its spam-directed part).
 
-    Three aggregates over all rows, each a few numbers for a language: medians, median deviations, and
-    the covariance of scores clipped at ``CLIP``. They come to the driver: their size is languages
-    times a constant. Labels outside ``LANGUAGES`` count as 'und', the group of all rows. A matrix of correlations is
-    pulled a fifth of the way to the identity, so that it can be inverted whatever the data.
+    Three aggregates over the distinct feature rows with at most ``ENTRY_SHARE`` of entries, each a few
+    numbers for a language: medians, median deviations, and the covariance of scores clipped at ``CLIP``.
+    They come to the driver: their size is languages times a constant. Labels outside ``LANGUAGES`` count
+    as 'und', the group of all languages. A matrix of correlations is pulled a fifth of the way to the
+    identity, so that it can be inverted whatever the data. Without a row to measure against, the
+    distance is infinite.
     """
     rows = rows.withColumn("language", F.when(F.col("language").isin(*LANGUAGES), F.col("language")).otherwise("und"))
 
-    # a text without function words and label is measured against the rows of all languages
-    population = rows.where("language <> 'und'").unionByName(rows.withColumn("language", F.lit("und")))
+    # copies and candidates have no say; a text without function words and label is measured against all languages
+    plain = rows.where(F.col("entries") <= ENTRY_SHARE).select("language", *FEATURES)
+    population = cut(plain.where("language <> 'und'").unionByName(plain.withColumn("language", F.lit("und"))).distinct())
+    sizes = {r["language"]: r["count"] for r in population.groupBy("language").count().collect()}
+    own = [x for x, n in sizes.items() if n >= LEAST_ROWS or x == "und"]
+    population = population.where(is_in(F.col("language"), own))
 
     def medians(df: DataFrame) -> dict[str, np.ndarray]:
         found = df.groupBy("language").agg(*[F.percentile_approx(f, 0.5, 1000).alias(f) for f in FEATURES]).collect()
@@ -210,16 +221,19 @@ def robust_distances(rows: DataFrame) -> DataFrame:
         covariance = total[:-1].reshape(len(FEATURES), -1) / total[-1]
         d = np.sqrt(np.maximum(np.diag(covariance), 0.25))
         scatter.inverse[x] = np.linalg.inv(0.8 * covariance / np.outer(d, d) + 0.2 * np.eye(len(FEATURES))) / np.outer(d, d)
+    for x in set(LANGUAGES) - set(own) if "und" in own else ():
+        for kind in (scatter.centre, scatter.scale, scatter.inverse):
+            kind[x] = kind["und"]
     direction = np.array([DIRECTION[f] for f in FEATURES], float)
 
     def distances(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, language = scatter.scores(batch)
-            distance = np.zeros(len(values))
+            distance = np.full(len(values), np.inf)
             for x in scatter.inverse:
                 at = language == x
                 distance[at] = np.einsum("ij,jk,ik->i", values[at], scatter.inverse[x], values[at])
-            towards = np.clip(values, -10, 10) @ direction
+            towards = np.where(np.isinf(distance), np.inf, np.clip(values, -10, 10) @ direction)
             yield batch.append_column("distance", pa.array(distance)).append_column("towards", pa.array(towards))
 
     return rows.mapInArrow(distances, ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", distance double, towards double")

@@ -97,3 +97,38 @@ def test_spam_is_found_and_hard_pages_are_not(spark):
     assert len(got) == len(set(got)) and set(got) == bad
     assert spam.found_spam(df.limit(0)).count() == 0
     assert spam.flagged(df).where("towards <= 0").count() == 0
+
+
+def plain_rows(rng, n, start=0, languages=L.LANGUAGES):
+    return [(start + i, languages[i % len(languages)], " ".join(sentence(languages[i % len(languages)], rng) for _ in range(6))) for i in range(n)]
+
+
+def spam_text(rng, lang="es"):
+    # phrases with a few function words of the language, so that it belongs there
+    phrases = ["comprar apuntes baratos", "descargar pdf gratis", "examenes resueltos", "mejores resumenes", "clases particulares online"]
+    return " | ".join(rng.choice(phrases) for _ in range(60)) + " " + {"es": "para todos los", "en": "for all the"}[lang]
+
+
+def found_ids(spark, rows):
+    return {r["doc_id"] for r in spam.found_spam(spark.createDataFrame(rows, "doc_id bigint, lang string, text string")).collect()}
+
+
+def test_a_copied_spam_text_does_not_become_the_centre(spark):
+    rng = random.Random(6)
+    copied = spam_text(rng)
+    rows = plain_rows(rng, 400) + [(1000 + i, "es", copied) for i in range(200)] + [(2000 + i, "es", spam_text(rng)) for i in range(10)]
+    assert found_ids(spark, rows) == {*range(1000, 1200), *range(2000, 2010)}
+
+
+@pytest.mark.parametrize("n_spam", [40, 80, 95, 120, 400])
+def test_any_share_of_distinct_spam_in_a_language_is_found(spark, n_spam):
+    rng = random.Random(n_spam)
+    rows = plain_rows(rng, 400) + [(1000 + i, "es", spam_text(rng)) for i in range(n_spam)]
+    assert found_ids(spark, rows) == set(range(1000, 1000 + n_spam))
+
+
+def test_spam_without_ordinary_pages_of_its_language_or_of_any(spark):
+    rng = random.Random(8)
+    bad = [(1000 + i, "es", spam_text(rng)) for i in range(60)]
+    assert found_ids(spark, plain_rows(rng, 90, languages=("en", "fr", "ca")) + bad) == set(range(1000, 1060))
+    assert found_ids(spark, bad) == set(range(1000, 1060))
