@@ -14,7 +14,8 @@ A word stands in an entry when the words around it hold next to no function word
 and mostly phrases that the document repeats. Words of code, tables and references do not count,
 and a tag that runs words together counts for as many as it has times six letters.
 
-Null, empty and blank texts and texts under ``MIN_WORDS`` words are never flagged. Repeated rows
+Null, empty and blank texts are never flagged. A text under ``MIN_WORDS`` words that is one bare
+phrase, without link, tag or separator, reads as a heading: its words are no entries. Repeated rows
 of a document come out once. The language is the one most of the function words belong to, else
 the label, else 'und'; a wrong label only matters where a text has no function word.
 """
@@ -48,6 +49,8 @@ LEAST_SCALE = {"function_words": 0.03, "entropy": 0.02, "repetition": 0.05, "lin
 DIRECTION = {"function_words": -1, "entropy": -1, "repetition": 1, "links": 1, "tags": 1, "entries": 1, "code": 0}
 MIN_WORDS, REACH, CLIP, OUTLIER = 8, 8, 3.0, 14.07  # the last: 95 % of chi-square with as many degrees of freedom as features
 ENTRY_SHARE, TAG_LETTERS = 0.5, 6
+# Signs that stand between phrases of a list.
+SEPARATORS = ",;|/·•\n"
 #: Distinct rows below which a language has no centre of its own.
 LEAST_ROWS = 30
 
@@ -123,6 +126,11 @@ def document_features(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
     share = lambda flags: (lambda t: (t[high] - t[low]) / (high - low))(counted(flags))
     f, r, marked = share(functional), share(repeated), share((link | tag)[token])
     entry = ((f <= 0.12) | (f <= 0.3) & ((r >= 0.6) | (marked >= 0.25))) & ~excluded
+    # a short text that is one bare phrase is a heading
+    apart = counted(np.isin(codes, np.array([ord(c) for c in SEPARATORS], np.uint32)))
+    listed = (apart[a[1:]] > apart[b[:-1]]) & (rows[1:] == rows[:-1]) & ~(digit[b[:-1] - 1] & digit[a[1:]])
+    several = np.bincount(rows[1:], listed, n_rows) + np.bincount(rows, (link | tag)[token], n_rows) > 0
+    entry &= ((n >= MIN_WORDS) | several)[rows]
     # entropy of the word distribution against the largest possible
     pair = mix(hashes + rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     _, where, count = np.unique(pair, return_index=True, return_counts=True)
@@ -138,7 +146,7 @@ def document_features(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
 
 
 def features(documents: DataFrame) -> DataFrame:
-    """(doc_id, language, n_words, the ``FEATURES``): each document once; texts under ``MIN_WORDS`` words left out."""
+    """(doc_id, language, n_words, the ``FEATURES``): each document once; texts without a word left out."""
     schema = "doc_id bigint, language string, n_words int, " + ", ".join(f"{f} double" for f in FEATURES)
     names = np.array([*LANGUAGES, ""], object)
 
@@ -147,7 +155,7 @@ def features(documents: DataFrame) -> DataFrame:
             values, n, language = document_features(*decode(block.column("text")))
             label = np.array([x or "und" for x in block.column("lang").to_pylist()], object)
             label = np.where(language >= 0, names[language], label)
-            keep = pa.array(n >= MIN_WORDS)
+            keep = pa.array(n > 0)
             columns = [block.column("doc_id"), pa.array(label, pa.string()), pa.array(n, pa.int32()), *map(pa.array, values.T)]
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], ["doc_id", "language", "n_words", *FEATURES])
 

@@ -132,3 +132,11 @@ def test_spam_without_ordinary_pages_of_its_language_or_of_any(spark):
     bad = [(1000 + i, "es", spam_text(rng)) for i in range(60)]
     assert found_ids(spark, plain_rows(rng, 90, languages=("en", "fr", "ca")) + bad) == set(range(1000, 1060))
     assert found_ids(spark, bad) == set(range(1000, 1060))
+
+
+def test_short_texts_of_tags_links_or_listed_phrases_are_found(spark):
+    rng = random.Random(3)
+    bad = ["#buynotes #freepdf #exams #cheap #online #notes #pdf", "buy cheap notes | free pdf download", "cheap notes\nfree pdf\nexams", "www.x1.test www.x2.test", "#freepdf"]
+    good = ["buy notes", "Virtual memory 3,5", "int x = 3;", "How does a bus work?", "the bus", "a", "|", "7"]
+    rows = plain_rows(rng, 200) + [(1000 + i, "en", t) for i, t in enumerate(bad)] + [(2000 + i, "en", t) for i, t in enumerate(good)]
+    assert found_ids(spark, rows) == set(range(1000, 1000 + len(bad)))
