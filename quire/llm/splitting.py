@@ -7,8 +7,9 @@ marks all cuts that the greedy walk would make in about log2(pieces) gathers, fo
 of a block at once.
 
 Words are runs between blanks. A word longer than the character limit is cut inside. Neighbours
-share ``overlap`` words, fewer only where so many would leave no room for a new word. Null, empty
-and blank texts are never oversized. Items stored several times come out once.
+share ``overlap`` words, fewer only where so many would leave no room for a new word. Null and empty
+texts are never oversized; a blank one over the character limit has one empty piece. Items stored
+several times come out once.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def _fragments(starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, limit: in
 
 
 def cuts(codes: np.ndarray, offsets: np.ndarray, max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, piece number, start, end and word count of all pieces of the rows that are over a limit."""
+    """Row, piece number, start, end and word count of all pieces of the rows that hold a word and are over a limit."""
     if not 0 <= overlap < max_words or max_chars < 1:
         raise ValueError("the overlap must be smaller than the word limit, and the character limit positive")
     empty = np.zeros(0, np.int64)
@@ -124,6 +125,11 @@ def pieces(df: DataFrame, max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS
         for block in blocks(batches, "text"):
             codes, offsets = decode(block.column("text"))
             row, number, a, b, n = cuts(codes, offsets, max_words, max_chars, overlap)
+            # blank texts over the limit hold no word to cut at: one empty piece each
+            blank = np.setdiff1d(np.flatnonzero(np.diff(offsets) > max_chars), row)
+            none = np.zeros(len(blank), np.int64)
+            row, number, n = (np.concatenate(x) for x in ((row, blank), (number, none), (n, none)))
+            a, b = np.concatenate([a, offsets[blank]]), np.concatenate([b, offsets[blank]])
             if not len(row):
                 continue
             out = [*block.select(names[:5]).take(pa.array(row)).columns, pa.array(number, pa.int32()), pa.array(n, pa.int32()), pa.array(b - a, pa.int32())]

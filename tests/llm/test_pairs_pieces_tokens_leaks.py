@@ -229,3 +229,12 @@ def test_extra_columns_with_clashing_names(spark):
     assert encoding.token_ids(docs).columns == ["doc_id", "ids"]
     items = spark.createDataFrame([(1, text, 9)], "item_id bigint, text string, doc_id int")
     assert leaks.found_leaks(docs.withColumnRenamed("ids", "item_id"), items).count() == 0
+
+
+def test_blank_texts_over_the_character_limit_have_one_empty_piece(spark):
+    chunks = spark.createDataFrame([("u", "d", 1, 0, " " * 4001), ("u", "d", 1, 0, " " * 4001), ("u", "d", 2, 0, "\n " * 2000), ("u", "d", 3, 0, "word " * 500)], "user_id string, doc_id string, page int, part int, text string")
+    pages = spark.createDataFrame([("u", "d", 9, "\n " * 3000)], "user_id string, doc_id string, number int, text string")
+    found = {tuple(r) for r in splitting.found_items(pages, chunks).collect()}
+    assert found == {("page", "u", "d", 9, -1), ("chunk", "u", "d", 1, 0), ("chunk", "u", "d", 3, 0)}
+    rows = splitting.pieces(splitting.items(pages, chunks)).where("n_words = 0").collect()
+    assert sorted((r["kind"], r["page"], r["piece"], r["n_chars"], r["text"]) for r in rows) == [("chunk", 1, 0, 0, ""), ("page", 9, 0, 0, "")]
