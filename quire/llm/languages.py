@@ -21,15 +21,16 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions.stages import checked_join
-from quire.llm.codepoints import BLANK, DIGIT, LETTER, MARK, blocks, classes, decode, hash_ranges, runs
+from quire.llm.codepoints import BLANK, DIGIT, LETTER, MARK, CharMap, blocks, classes, decode, hash_ranges, runs, tabulated
 from quire.llm.lookalikes import normalise
-from quire.llm.repeated_lines import document_sources, frequent_lines, line_hashes, lower_map
+from quire.llm.repeated_lines import document_sources, frequent_lines, line_hashes
 from quire.llm.tokens import Tokens, counted
 
 LANGUAGES = ("ca", "es", "en", "fr")
@@ -42,12 +43,16 @@ GRAM_WEIGHT, SOFTNESS = 0.3, 6.0
 LINE_SCHEMA = "user_id string, doc_id string, number int, label string, paragraph int, line_no int, line_hash bigint, letters int, prose_letters int, known_letters int, " + ", ".join(f"{x} float" for x in LANGUAGES)
 
 
+@lru_cache(1)
+def lower_letters() -> CharMap:
+    """Lower case that keeps the places: where it is longer, its first letter alone (U+0130 becomes i)."""
+    return CharMap({c: (ord(chr(c).lower()[0]),) for c in tabulated() if chr(c).lower() != chr(c)})
+
+
 def lined_words(codes: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """Words (runs of letters and marks) and lines of normalised lower-case texts."""
     kinds = classes()[codes]
-    plain, _, source = lower_map().apply(codes, offsets)
-    if source is not None:  # a letter whose lower case is longer: keep the places
-        plain = codes
+    plain, *_ = lower_letters().apply(codes, offsets)
     a, b = runs((kinds & (LETTER | MARK)) > 0, offsets)
     feeds = counted(codes == 10)
     rows = np.searchsorted(offsets, a, "right") - 1

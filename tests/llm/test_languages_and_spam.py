@@ -140,3 +140,7 @@ def test_short_texts_of_tags_links_or_listed_phrases_are_found(spark):
     good = ["buy notes", "Virtual memory 3,5", "int x = 3;", "How does a bus work?", "the bus", "a", "|", "7"]
     rows = plain_rows(rng, 200) + [(1000 + i, "en", t) for i, t in enumerate(bad)] + [(2000 + i, "en", t) for i, t in enumerate(good)]
     assert found_ids(spark, rows) == set(range(1000, 1000 + len(bad)))
+
+
+def test_a_letter_with_a_longer_lower_case_leaves_the_others_lower_cased():
+    assert L._prose_words(["THE DATA BUS", "İSTANBUL Kernel"]) == [["the", "data", "bus"], ["istanbul", "kernel"]]
