@@ -67,7 +67,8 @@ def tables() -> tuple[CharMap, np.ndarray, np.ndarray]:
             lettered = category[0] == "L" or category == "Nl"
             if plain != char and (wide or lettered and all(unicodedata.category(c)[0] in "LM" or c == "·" for c in plain)) and category != "Lm":
                 out = tuple(map(ord, plain))
-        elif kind == "font" and 0x1D400 <= code < 0x1D800:
+        elif kind == "font" and (0x1D400 <= code < 0x1D800 or 0x2100 <= code < 0x2150 and unicodedata.normalize("NFKC", char).isalpha()):
+            # some places of the mathematical alphabets are holes: their letters stand among the letterlike symbols
             out, flag = tuple(map(ord, unicodedata.normalize("NFKC", char))), FLAG_MATHS
         elif not kind and decomposition and (plain := unicodedata.normalize("NFC", char)) != char:
             out = tuple(map(ord, plain))

@@ -130,3 +130,8 @@ def test_unicode_data_is_what_the_tables_say():
         assert bool(table[code] & C.LETTER) == (unicodedata.category(chr(code))[0] == "L")
         if code > 0x3400:
             break
+
+
+def test_letters_in_the_holes_of_the_mathematical_alphabets():
+    texts = ["𝑡ℎ𝑒", "𝒽ℯ𝓁𝓁ℴ", "ℂℝ", "ℎ = 2", "ℝ", "ℏω", "№ ℃ ⅀"]
+    assert normal(texts) == (["the", "hello", "CR", "ℎ = 2", "ℝ", "ħω", "№ ℃ ⅀"], [True, True, True, False, False, True, False])
