@@ -4,9 +4,9 @@ Texts are cut at content-defined places: a rolling hash over the code points bef
 decides, so a passage that documents share is cut alike wherever it stands. A task encodes each
 distinct chunk once and assembles the ids of its texts from the chunk dictionary by gathers.
 A cut chosen by the hash is moved to the next place where a blank run begins after a non-blank.
-The pre-tokenizer never joins across such a place, so re-encoding a join there agrees with the
-parts at once; ``repaired`` proves it on request by re-encoding every join, and falls back to the
-joined text where it does not agree.
+The pre-tokenizer never joins across such a place, so re-encoding a join there would agree with the
+parts at once. This safe cut stands in for the repair of joins: the operator neither re-encodes nor
+checks the joins inside texts. ``repaired`` re-encodes joins of any cuts; only the tests run it.
 
 The empty list stands for null and for empty texts. Strings of special tokens in a text are
 ordinary text. Texts without blanks are encoded whole.
