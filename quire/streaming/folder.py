@@ -14,14 +14,17 @@ from pyspark.sql.streaming import StreamingQuery
 from quire.sources.files import case_glob
 
 FILE = "path string, modificationTime timestamp, length bigint, content binary"
+#: The source skips new files that are older than this against the newest one seen: none should be.
+MAX_FILE_AGE = "36500d"
 
 
 def watch(spark: SparkSession, folder: str, extensions: list[str]) -> DataFrame:
     """(path, modified_at, size_bytes, doc_id, content) of files as they appear; each content once while its hash is remembered."""
-    files = spark.readStream.format("binaryFile").schema(FILE).option("recursiveFileLookup", "true").option("pathGlobFilter", case_glob(extensions)).load(folder)
+    files = spark.readStream.format("binaryFile").schema(FILE).option("recursiveFileLookup", "true").option("maxFileAge", MAX_FILE_AGE).option("pathGlobFilter", case_glob(extensions)).load(folder)
     named = files.select("path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("doc_id"), "content")
-    # the state forgets contents that no file brought for a week
-    return named.withWatermark("modified_at", "7 days").dropDuplicatesWithinWatermark(["doc_id"])
+    # by arrival, so that no file is late whatever its own time; the state forgets a content a week after it arrived
+    arrived = named.withColumn("_arrived_at", F.current_timestamp()).withWatermark("_arrived_at", "7 days")
+    return arrived.dropDuplicatesWithinWatermark(["doc_id"]).drop("_arrived_at")
 
 
 def run(stream: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None]) -> StreamingQuery:

@@ -221,3 +221,20 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert "nothing to do" in call("extract")[1].out and call("register", "--source", "zzz")[0] == 1
     monkeypatch.chdir("/")
     assert call("config")[0] == 1
+
+
+def test_folder_stream_takes_files_with_old_times(spark, tmp_path):
+    import os
+
+    inbox, seen = tmp_path / "inbox", []
+    inbox.mkdir()
+
+    def go(name, text, time):
+        (inbox / name).write_text(text)
+        os.utime(inbox / name, (time, time))
+        folder.run(folder.watch(spark, str(inbox), [".txt"]), str(tmp_path / "ck"), lambda df, _: seen.extend(r["path"][-5:] for r in df.collect())).awaitTermination()
+
+    go("a.txt", "one", 1_700_000_000)
+    go("b.txt", "two", 1_690_000_000)
+    go("c.txt", "one", 1_690_000_000)
+    assert seen == ["a.txt", "b.txt"]
