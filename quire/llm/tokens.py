@@ -6,7 +6,7 @@ import numpy as np
 
 from quire.llm.codepoints import BLANK, DIGIT, LETTER, UPPER, runs
 
-# Signs that code is full of and prose is not.
+# Signs that code is full of and prose is not; a semicolon is one at the end of a line or inside what stands between blanks.
 CODE_SIGNS = "_{};="
 
 
@@ -40,6 +40,8 @@ class Tokens:
         follows = np.zeros(len(codes), bool)
         follows[1:] = letter[:-1] & digit[1:] | lower[:-1] & ((kinds[1:] & UPPER) > 0) | letter[:-1] & (codes[1:] == ord("("))
         signs = np.isin(codes, np.array([ord(c) for c in CODE_SIGNS], np.uint32))
+        # prose and lists put a semicolon between phrases of a line
+        signs[:-1] &= ~((codes[:-1] == ord(";")) & ((kinds[1:] & BLANK) > 0) & (codes[1:] != 10))
         self.code = self.holds(signs | at_text(codes, "->") | follows) & ~self.link & ~self.tag
 
     def holds(self, flags: np.ndarray) -> np.ndarray:

@@ -1,9 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings, strategies as st
 
-from quire.llm import languages as L, spam
+from quire.llm import languages as L, near_duplicates, repeated_lines, spam
+from quire.llm.codepoints import decode
 
 WORDS = {
     "ca": "el bus de dades comprova la taula de pàgines amb paritat i després xifra els blocs del nucli quan la cua és plena",
@@ -144,3 +147,55 @@ def test_short_texts_of_tags_links_or_listed_phrases_are_found(spark):
 
 def test_a_letter_with_a_longer_lower_case_leaves_the_others_lower_cased():
     assert L._prose_words(["THE DATA BUS", "İSTANBUL Kernel"]) == [["the", "data", "bus"], ["istanbul", "kernel"]]
+
+
+def test_the_distance_decides_and_the_check_only_takes_away(spark):
+    """Telegraphic notes are common here, so they are no outliers, though the check alone would take them."""
+    rng = random.Random(13)
+    content = [w for w in WORDS["en"].split() if len(w) > 3] + ["cache", "index", "thread", "packet", "lock", "frame", "stack", "route"]
+
+    def notes(every):
+        words = [rng.choice(content) if i % every else rng.choice(["the", "of", "with"]) for i in range(90)]
+        return " ".join(words).capitalize() + "."
+
+    rows = [(i, "en", notes(2 + i % 5)) for i in range(300)] + [(1000 + i, "en", " | ".join(rng.choice(["buy notes", "free pdf", "cheap exams"]) for _ in range(60))) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    alone = {r["doc_id"] for r in spam.features(df).where(f"entries > {spam.ENTRY_SHARE}").collect()}
+    found = {r["doc_id"] for r in spam.found_spam(df).collect()}
+    assert found == set(range(1000, 1012)) and len(alone - found) > 10 and found <= alone
+    assert {r["doc_id"] for r in spam.flagged(df).collect()} >= found
+
+
+def test_semicolons_between_phrases_are_no_code(spark):
+    rng = random.Random(17)
+    rows = plain_rows(rng, 200) + [(1000 + i, "en", "; ".join(rng.choice(["buy notes", "free pdf download", "cheap exams"]) for _ in range(50))) for i in range(6)]
+    rows += [(2000 + i, "en", "\n".join(f"value{k}[{k}] = other{k}({k});" for k in range(40))) for i in range(6)]
+    assert found_ids(spark, rows) == set(range(1000, 1006))
+
+
+MIXED = st.lists(st.sampled_from(["THE DATA BUS checks pages", "İSTANBUL ŉ ǰ Kernel", "́ậ", "ﬁn ＡＢ é\n\nLegal notice 12", "", "  \n ", "ẞ \U0001d400\U0001d401", "a; b; #tag www.x.test 3 €", "한글 한", "\x85 x"]) | st.text(max_size=30), min_size=1, max_size=6)
+
+
+@given(MIXED)
+@settings(max_examples=120, deadline=None)
+def test_no_kernel_depends_on_the_neighbours_of_a_row(texts):
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+
+    def features(part):
+        values, spoken, entries, n, language = spam.document_features(*decode(pa.array(part, pa.string())))
+        return [(*map(float, v), float(s), float(e), int(k), int(x)) for v, s, e, k, x in zip(values, spoken, entries, n, language)]
+
+    def lines(part):
+        rows, numbers, hashes = repeated_lines.line_hashes(*decode(pa.array(part, pa.string())), 1)
+        return [[(int(n), int(h)) for r, n, h in zip(rows, numbers, hashes) if r == k] for k in range(len(part))]
+
+    def sequences(part):
+        hashes, rows, words = near_duplicates.shingles(*decode(pa.array(part, pa.string())), 1)
+        return [(hashes[rows == k].tolist(), int(words[k])) for k in range(len(part))]
+
+    for kernel in (L._prose_words, features, lines, sequences):
+        together, alone = kernel(texts), [x for t in texts for x in kernel([t])]
+        if kernel is features:
+            assert np.allclose(np.array(together), np.array(alone))
+        else:
+            assert together == alone
