@@ -112,6 +112,8 @@ def document_features(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
     if len(codes) > 5:
         year[:-5] &= digit[1:-4] & digit[2:-3] & digit[3:-2] & digit[4:-1] & (codes[5:] == ord(")"))
         year[-5:] = False
+        of_row = np.repeat(np.arange(n_rows), np.diff(offsets))
+        year[:-5] &= of_row[5:] == of_row[:-5]
     else:
         year[:] = False
     years = counted(year)
