@@ -145,9 +145,11 @@ class CharMap:
                 longer.extend(out)
         self.longer = np.array(longer, np.uint32)
 
-    def apply(self, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-        """Mapped codes, their row offsets, and the source index of each (None: as before)."""
+    def apply(self, codes: np.ndarray, offsets: np.ndarray, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Mapped codes, their row offsets, and the source index of each (None: as before); where ``only`` is false, codes stay."""
         out, lengths = self.to[codes], self.length[codes]
+        if only is not None:
+            out, lengths = np.where(only, out, codes), np.where(only, lengths, np.uint8(1))
         if (lengths == 1).all():
             return out, offsets, None
         ends = np.zeros(len(codes) + 1, np.int64)

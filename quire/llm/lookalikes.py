@@ -2,8 +2,8 @@
 
 ``normalise`` brings a block of texts to one form: characters nobody sees are
 removed, every blank but tab and line feed becomes a space, width, ligature
-and presentation forms become their letters, a letter and its marks become the
-composed letter, and letters of other alphabets drawn like Latin ones become
+and presentation forms become their letters, a letter and its marks in any order become the
+composed letter (jamo their syllable), and letters of other alphabets drawn like Latin ones become
 Latin where they stand in a word with Latin letters.
 Kept as they are: words wholly in another alphabet, single mathematical letters, super- and
 subscripts, ordinal signs, bullets, dashes and quotation marks. Null stays null and empty stays
@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from quire.llm.codepoints import LATIN, LETTER, MARK, N_CODES, CharMap, blocks, classes, decode, encode, row_of, runs, tabulated
+from quire.llm.codepoints import LATIN, LETTER, MARK, N_CODES, CharMap, blocks, classes, decode, encode, row_of, runs, spread, tabulated
 
 # Letters of other alphabets and the Latin letters they are drawn like.
 LOOKALIKES = {
@@ -30,9 +30,15 @@ LOOKALIKES = {
     "Ѕ": "S", "І": "I", "Ј": "J", "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Һ": "H", "Ԁ": "D", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I",
     "а": "a", "е": "e", "к": "k", "о": "o", "п": "n", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ї": "ï", "ј": "j", "ѵ": "v", "һ": "h", "ү": "y", "ӏ": "l", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѐ": "è", "ё": "ë",
     "Տ": "S", "Օ": "O", "Ս": "U", "Լ": "L", "ո": "n", "ս": "u", "օ": "o", "հ": "h", "ց": "g", "զ": "q", "ա": "w", "յ": "j", "ք": "p", "լ": "l",
+    "Ь": "b", "ь": "b", "г": "r",
+    "ɴ": "N", "ʀ": "R", "ʙ": "B", "ʜ": "H", "ʟ": "L", "ɢ": "G", "ᴀ": "A", "ᴅ": "D", "ᴇ": "E", "ᴊ": "J", "ᴋ": "K", "ᴍ": "M", "ᴘ": "P", "ᴛ": "T", "ᴜ": "U", "ꜰ": "F",
     "ɑ": "a", "ɡ": "g", "ɩ": "i", "ɪ": "i", "ʏ": "y", "ʋ": "v", "ı": "i", "ᴄ": "c", "ᴏ": "o", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s",
     "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮤ": "W", "Ꮓ": "Z",
+    "Ꮐ": "G", "Ꮢ": "R", "Ꮃ": "W", "Ꭹ": "Y", "Ꮷ": "d", "Ꭵ": "i", "Ꮟ": "b", "Ꮒ": "h", "ꮓ": "z", "ꮩ": "v", "ꮪ": "s", "ꮃ": "w", "ꮯ": "c", "ꭵ": "i", "ꮁ": "r",
+    "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K", "ꓡ": "L", "ꓟ": "M", "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
 }
+#: Where the Hangul jamo and syllables begin, and how many medials and finals (with none) there are.
+HANGUL_L, HANGUL_V, HANGUL_T, HANGUL_S, N_L, N_V, N_T = 0x1100, 0x1161, 0x11A7, 0xAC00, 19, 21, 28
 #: Fillers that are drawn as nothing though they are no format characters.
 INVISIBLE = (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0)
 #: Kinds of compatibility form that are drawn like the characters they stand for.
@@ -93,35 +99,101 @@ def compositions() -> tuple[np.ndarray, np.ndarray]:
     return keys, np.array([pairs[int(k)] for k in keys], np.uint32)
 
 
-def _compose(codes: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Letters with the marks that follow composed; also the rows in which that happened."""
+@lru_cache(1)
+def combining() -> tuple[np.ndarray, np.ndarray, CharMap]:
+    """Combining class by code point, what may join the character before it, and the letters that have marks in them, taken apart."""
+    order = np.zeros(N_CODES, np.uint8)
+    apart: dict[int, tuple[int, ...]] = {}
+    for code in tabulated():
+        char = chr(code)
+        order[code] = unicodedata.combining(char)
+        if len(plain := unicodedata.normalize("NFD", char)) > 1 and not unicodedata.combining(char) and unicodedata.normalize("NFC", char) == char:
+            apart[code] = tuple(map(ord, plain))
+    joins = order > 0
+    joins[(compositions()[0] & 0x1FFFFF).astype(np.int64)] = True
+    joins[HANGUL_V : HANGUL_V + N_V] = joins[HANGUL_T + 1 : HANGUL_T + N_T] = True
+    return order, joins, CharMap(apart)
+
+
+def _paired(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The letter that two code points compose to; 0 where they do not."""
     keys, composed = compositions()
-    touched = []
+    a, b = first.astype(np.int64), second.astype(np.int64)
+    at = np.minimum(np.searchsorted(keys, a << 21 | b), len(keys) - 1)
+    out = np.where(keys[at] == (a << 21 | b), composed[at], 0).astype(np.int64)
+    lead, vowel, syllable, final = a - HANGUL_L, b - HANGUL_V, a - HANGUL_S, b - HANGUL_T
+    out = np.where((lead >= 0) & (lead < N_L) & (vowel >= 0) & (vowel < N_V), HANGUL_S + (lead * N_V + vowel) * N_T, out)
+    return np.where((syllable >= 0) & (syllable < N_L * N_V * N_T) & (syllable % N_T == 0) & (final > 0) & (final < N_T), a + final, out)
+
+
+def _compose(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts with marks in canonical order and composed, and the rows that changed by it; only rows that hold any are worked on."""
+    rows = np.unique(row_of(offsets, np.flatnonzero(combining()[1][codes])))
+    size = np.diff(offsets)
+    some, some_offsets, changed = _composed_rows(codes[spread(offsets[rows], size[rows])], np.concatenate([[0], np.cumsum(size[rows])]))
+    if not len(changed):
+        return codes, offsets, changed
+    new_size = size.copy()
+    new_size[rows] = np.diff(some_offsets)
+    new_offsets = np.concatenate([[0], np.cumsum(new_size)])
+    out = np.empty(int(new_offsets[-1]), codes.dtype)
+    rest = np.setdiff1d(np.arange(len(size)), rows)
+    out[spread(new_offsets[rest], size[rest])] = codes[spread(offsets[rest], size[rest])]
+    out[spread(new_offsets[rows], new_size[rows])] = some
+    return out, new_offsets, rows[changed]
+
+
+def _composed_rows(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters with the marks that follow in canonical order and composed; also the rows that changed by it.
+
+    Letters before a mark are taken apart, marks are sorted by class inside their run, and in each
+    round the first mark of a run that nothing of its class blocks and that composes goes into its letter.
+    """
+    order, joins, apart = combining()
+    old_codes, old_offsets = codes, offsets
+
+    def row_starts() -> np.ndarray:
+        out = np.zeros(len(codes) + 1, bool)
+        out[offsets] = True
+        return out[:-1]
+
+    lead = row_starts()
+    before = np.zeros(len(codes), bool)
+    before[:-1] = (order[codes[1:]] > 0) & ~lead[1:]
+    codes, offsets, _ = apart.apply(codes, offsets, before)
+    rank, lead = order[codes], row_starts()
+    marks = np.flatnonzero(rank)
+    run = np.cumsum((rank == 0) | lead)
+    codes = codes.copy()
+    codes[marks] = codes[marks[np.lexsort((rank[marks], run[marks]))]]
     while True:
-        marks = np.flatnonzero(kind & MARK)
-        marks = marks[marks > 0]
-        starts = np.zeros(len(codes) + 1, bool)
-        starts[offsets] = True
-        marks = marks[~starts[marks]]
-        if not len(marks):
-            break
-        pair = codes[marks - 1].astype(np.int64) << 21 | codes[marks]
-        at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-        hit = keys[at] == pair
-        # a mark after a mark waits until the first has gone into the letter
-        if not hit.any():
+        rank, lead, index = order[codes], row_starts(), np.arange(len(codes))
+        base = np.maximum.accumulate(np.where((rank == 0) | lead, index, 0))
+        at = np.flatnonzero(joins[codes] & ~lead)
+        free = np.where(rank[at] > 0, (base[at] == at - 1) | (rank[at - 1] < rank[at]), rank[at - 1] == 0)
+        at = at[free]
+        into = np.where(rank[at] > 0, base[at], at - 1)
+        at, into = at[rank[into] == 0], into[rank[into] == 0]
+        made = _paired(codes[into], codes[at])
+        at, into, made = at[made > 0], into[made > 0], made[made > 0]
+        into, first = np.unique(into, return_index=True)
+        at, made = at[first], made[first]
+        keep = ~np.isin(into, at)  # what is itself about to go waits for the next round
+        if not len(at):
             break
-        into, gone = marks[hit] - 1, marks[hit]
-        codes = codes.copy()
-        codes[into] = composed[at[hit]]
-        touched.append(row_of(offsets, gone))
-        keep = np.ones(len(codes), bool)
-        keep[gone] = False
-        before = np.zeros(len(codes) + 1, np.int64)
-        np.cumsum(keep, out=before[1:])
-        codes, kind, offsets = codes[keep], kind[keep], before[offsets]
-        kind = classes()[codes]
-    return codes, offsets, np.unique(np.concatenate(touched)) if touched else np.zeros(0, np.int64)
+        at, into, made = at[keep], into[keep], made[keep]
+        codes[into] = made
+        left = np.ones(len(codes), bool)
+        left[at] = False
+        place = np.zeros(len(codes) + 1, np.int64)
+        np.cumsum(left, out=place[1:])
+        codes, offsets = codes[left], place[offsets]
+    size, old_size = np.diff(offsets), np.diff(old_offsets)
+    changed = size != old_size
+    same = np.flatnonzero(~changed & (size > 0))
+    differs = codes[spread(offsets[same], size[same])] != old_codes[spread(old_offsets[same], size[same])]
+    changed[np.repeat(same, size[same])[differs]] = True
+    return codes, offsets, np.flatnonzero(changed)
 
 
 def normalise(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,8 +236,8 @@ def normalise(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
             mapped[back] = codes[source[back] if source is not None else back]
         codes, offsets = mapped, ends
     kind = kinds[codes]
-    if (kind & MARK).any():
-        codes, offsets, rows = _compose(codes, offsets, kind)
+    if combining()[1][codes].any():
+        codes, offsets, rows = _compose(codes, offsets)
         found[rows] = True
         kind = kinds[codes]
     latin = alike[codes]
@@ -183,8 +255,8 @@ def normalise(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
             codes[at] = latin[at]
             found[row_of(offsets, at)] = True
             # a look-alike base may now compose with the mark after it
-            if (kinds[codes] & MARK).any():
-                codes, offsets, _ = _compose(codes, offsets, kinds[codes])
+            if combining()[1][codes].any():
+                codes, offsets, _ = _compose(codes, offsets)
     return codes, offsets, found
 
 

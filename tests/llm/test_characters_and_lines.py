@@ -135,3 +135,25 @@ def test_unicode_data_is_what_the_tables_say():
 def test_letters_in_the_holes_of_the_mathematical_alphabets():
     texts = ["𝑡ℎ𝑒", "𝒽ℯ𝓁𝓁ℴ", "ℂℝ", "ℎ = 2", "ℝ", "ℏω", "№ ℃ ⅀"]
     assert normal(texts) == (["the", "hello", "CR", "ℎ = 2", "ℝ", "ħω", "№ ℃ ⅀"], [True, True, True, False, False, True, False])
+
+
+CANONICAL = st.text("aeoươâêẹậḜ̣̱́̂̈̕ͅ한고하한각োୈבְּ z\n", max_size=14)
+
+
+@given(st.lists(CANONICAL, min_size=1, max_size=6))
+@settings(max_examples=500, deadline=None)
+def test_marks_and_jamo_come_in_canonical_form(texts):
+    got, found = normal(texts)
+    want = [unicodedata.normalize("NFC", t) for t in texts]
+    assert got == want and found == [a != b for a, b in zip(texts, want)]
+
+
+def test_every_composed_letter_comes_back_from_its_parts():
+    letters = [c for c in map(chr, [*C.tabulated(), *range(0xAC00, 0xD7A4, 7)]) if unicodedata.normalize("NFC", c) == c != unicodedata.normalize("NFD", c)]
+    # letters that other rules of the normal form touch are left out
+    letters = [c for c, same in zip(letters, normal(letters)[0]) if same == c and unicodedata.normalize("NFKD", c) == unicodedata.normalize("NFD", c)]
+    assert len(letters) > 1500 and normal([unicodedata.normalize("NFD", c) for c in letters])[0] == letters
+
+
+def test_more_lookalikes_inside_latin_words():
+    assert normal(["ɴice", "Ьest", "ꓢale", "woгd", "ꮪale"]) == (["Nice", "best", "Sale", "word", "sale"], [True] * 5)
