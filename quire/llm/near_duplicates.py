@@ -1,18 +1,23 @@
 """Problem 4: records that are alike but for small edits.
 
 Chunks. Rows of equal text are one class, named by a 64-bit hash. A class's distinct sequences of
-``SHINGLE`` words give (a) bands of minimum hashes, whose equal keys propose pairs, and (b) a
-fingerprint of ``BITS`` bits, whose Hamming distances to ``PIVOTS`` reference fingerprints are the
-class's row in the pivot table; the first reference is the empty one. For any two fingerprints the
-difference of a coordinate is at most their Hamming distance, and that is at most the number of
-sequences only one of them holds, so a pair of similarity t cannot differ by more than
-(1 - t) / (1 + t) * (a + b) in any coordinate: such pairs are discarded without loss. Survivors are
-verified exactly on the texts.
-
-The pivot table alone cannot propose pairs at scale without comparing all with all: two unrelated
-texts lie about as far from a reference as two related ones. The bands do that, as an equi-join;
-two of them must agree. At the threshold of 0.6 a pair shares two of the 64 bands with probability
-0.9985, at 0.65 with 0.99995.
+``SHINGLE`` words give (a) bands of minimum hashes, an index whose equal keys propose pairs, and (b)
+a fingerprint of ``BITS`` bits and its row in the pivot table.
+
+The references of the pivot table are all unions of ``PARTS`` disjoint sets of bits, so there are
+2 ** PARTS of them. The Hamming distances to all are determined by the numbers of bits held in the
+parts, so these are what is stored, and the maximum difference over all references is the sum of
+the differences of these numbers. For any two fingerprints the difference of a coordinate is at most
+their Hamming distance, and that is at most the number of sequences only one of them holds, so a
+pair of similarity t cannot differ by more than (1 - t) / (1 + t) * (a + b) in any coordinate: such
+pairs are discarded without loss. Survivors are verified exactly on the texts.
+
+A pivot table says which pairs cannot be alike; to propose pairs with it alone all would have to be
+compared with all. The index does that, as an equi-join; two of ``BANDS`` bands must agree. At the
+threshold of 0.6 a pair fails this with a probability of 7e-5, at 0.65 with 3e-7. With ``exact``
+pairs come from a prefix filter instead, which loses none: similar texts share one of the first
+n - ceil(t * n) + 1 sequences in any one order of all sequences. Its cost grows with the square
+of the collection where texts are made from the same sentences, so it is not the default.
 
 Subjects. Edit distance is a metric too: distances to reference strings are the coordinates, the
 grid cells of the first few propose pairs (neighbouring cells are met by an explode, so this is
@@ -36,20 +41,18 @@ from quire.llm.codepoints import DIGIT, LETTER, OTHER_NUMBER, blocks, classes, d
 from quire.llm.repeated_lines import lower_map
 
 SHINGLE, LEAST_WORDS, SIMILARITY = 3, 30, 0.6
-BANDS, ROWS = 64, 4
-BITS, PIVOTS = 2048, 32
+BANDS, ROWS = 88, 4
+BITS, PARTS = 2048, 256
+#: Band keys that more classes than this share are dealt out by salts; one class of so many is looked at to find them, and so many keys are taken at most.
+HOT_CLASSES, HOT_SAMPLE, HOT_KEYS, SALTS = 1024, 16, 10_000, 16
+#: Bytes of a (class, key) row and of a task that joins them.
+ROW_BYTES, TASK_BYTES = 24, 8 << 20
+#: Members of a class that meet in one task, and the bits of the frequency sketch of the exact index.
+CLASS_SLOT, SKETCH_BITS = 10_000, 20
 EDITS, SUBJECT_PIVOTS, GRID = 3, 16, 3
 _HASHES = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def references() -> np.ndarray:
-    """The reference fingerprints as columns of bits: the empty one, then halves of the bits drawn by a hash."""
-    place = np.arange(BITS * PIVOTS, dtype=np.uint64).reshape(BITS, PIVOTS)
-    bits = (mix(place + np.uint64(77)) & np.uint64(1)).astype(np.int16)
-    bits[:, 0] = 0
-    return bits
-
-
 def shingles(codes: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and row of the distinct sequences of ``n`` words of each text, rows ascending, and the words of each row."""
     codes, offsets, _ = lower_map().apply(codes, offsets)
@@ -83,13 +86,12 @@ def bands(sequences: np.ndarray, first: np.ndarray) -> np.ndarray:
     return keys
 
 
-def coordinates(sequences: np.ndarray, rows: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Hamming distances of each text's fingerprint to the references; ``rows`` counts the texts from 0 upwards."""
+def coordinates(sequences: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """How many bits of each text's fingerprint lie in each part; ``rows`` counts the texts from 0 upwards."""
     n = int(rows[-1]) + 1
     held = np.zeros((n, BITS), bool)
     held[rows, (sequences % np.uint64(BITS)).astype(np.int64)] = True
-    common = held.astype(np.float32) @ table.astype(np.float32)
-    return (held.sum(1)[:, None] + table.sum(0)[None, :] - 2 * common).astype(np.int16)
+    return held.reshape(n, PARTS, BITS // PARTS).sum(2).astype(np.int16)
 
 
 def class_texts(chunks: DataFrame) -> DataFrame:
@@ -119,28 +121,95 @@ def band_keys(chunks: DataFrame) -> DataFrame:
     return class_texts(chunks).mapInArrow(work, "class bigint, key bigint")
 
 
-def candidate_pairs(keys: DataFrame) -> DataFrame:
+def hot_keys(chunks: DataFrame) -> DataFrame:
+    """(key): the band keys that many classes share, judged by one class of ``HOT_SAMPLE``; at most ``HOT_KEYS``.
+
+    They only say how the work is split; a key that is not among them is joined all the same.
+    """
+    sample = chunks.where(F.pmod(F.xxhash64("text"), F.lit(HOT_SAMPLE)) == 0)
+    counts = band_keys(sample).distinct().groupBy("key").agg(F.count("*").alias("n"))
+    return counts.where(F.col("n") >= HOT_CLASSES // HOT_SAMPLE).orderBy(F.desc("n"), "key").limit(HOT_KEYS).select("key")
+
+
+def candidate_pairs(chunks: DataFrame) -> DataFrame:
     """(a, b): classes that share at least two band keys, a < b, each pair once.
 
-    Whether two keys were shared is told by the least and the greatest of them, so repeated rows
-    count once and partial sums stay two numbers a pair.
+    Repeated (class, key) rows, which copies in different blocks make, are dropped where the keys
+    are dealt out, before they are joined. Hot keys are dealt out by salts too. Whether two
+    keys were shared is told by the least and the greatest of them, so partial sums stay two numbers a pair.
     """
-    left, right = keys.select("key", F.col("class").alias("a")), keys.select("key", F.col("class").alias("b"))
-    shared = left.join(right, "key").where("a < b").groupBy("a", "b").agg(F.min("key").alias("low"), F.max("key").alias("high"))
-    return shared.where("low < high").select("a", "b")
+    spark = chunks.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chunks.count() * BANDS * ROW_BYTES // TASK_BYTES))
+    keys = band_keys(chunks)
+    hot = cut(hot_keys(chunks))
+    some_hot = hot.limit(1).count() > 0
+
+    def joined(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        return left.withColumnRenamed("class", "a").join(right.withColumnRenamed("class", "b"), on).where("a < b").select("a", "b", "key")
+
+    cold = (keys.join(F.broadcast(hot), "key", "left_anti") if some_hot else keys).repartition(n, "key").dropDuplicates(["key", "class"])
+    shared = joined(cold, cold, ["key"])
+    if some_hot:  # at most HOT_KEYS keys: their number of rows a task is bounded by the salts
+        rows = keys.join(F.broadcast(hot), "key", "left_semi").repartition(n, "key", "class").dropDuplicates(["key", "class"])
+        left = rows.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int"))
+        right = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        shared = shared.unionByName(joined(left, right, ["key", "salt"]))
+    pairs = shared.groupBy("a", "b").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    return pairs.where("low < high").select("a", "b")
+
+
+def sketch(chunks: DataFrame) -> np.ndarray:
+    """How many blocks of texts hold the sequences of each of 2 ** ``SKETCH_BITS`` hash buckets; as many numbers come to the driver."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in map(first_copies, blocks(batches, "text")):
+            sequences, _, _ = shingles(*decode(block.column("text")))
+            bucket, n = np.unique(sequences >> np.uint64(64 - SKETCH_BITS), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(n)], ["bucket", "n"])
+
+    table = np.zeros(1 << SKETCH_BITS, np.int64)
+    found = class_texts(chunks).mapInArrow(work, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    table[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    return table
+
+
+def prefix_pairs(chunks: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): every pair of classes that may reach ``similarity``, a < b, each once; none is lost.
+
+    The order of sequences is by a sketch of their frequency, rare ones first, then by hash. A pair
+    whose sizes or whose places in the order leave no room for enough common sequences is dropped in the join.
+    """
+    shared = chunks.sparkSession.sparkContext.broadcast(sketch(chunks))
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in map(first_copies, blocks(batches, "text")):
+            sequences, rows, words = shingles(*decode(block.column("text")))
+            keep = (words >= LEAST_WORDS)[rows]
+            sequences, rows = sequences[keep], rows[keep]
+            order = np.lexsort((sequences, shared.value[(sequences >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], rows))
+            sequences, rows = sequences[order], rows[order]
+            n = np.bincount(rows, minlength=block.num_rows)[rows]
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            at = np.flatnonzero(place <= n - np.ceil(similarity * n - 1e-9))
+            yield pa.RecordBatch.from_arrays([block.column("class").take(pa.array(rows[at])), pa.array(sequences[at].view(np.int64)), pa.array(n[at], pa.int32()), pa.array(place[at], pa.int32())], ["class", "key", "n", "place"])
+
+    keys = class_texts(chunks).mapInArrow(work, "class bigint, key bigint, n int, place int").dropDuplicates(["key", "class"])
+    left, right = keys.toDF("a", "key", "na", "pa"), keys.toDF("b", "key", "nb", "pb")
+    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-9 - F.least("pa", "pb")
+    sizes = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9
+    return left.join(right, "key").where((F.col("a") < F.col("b")) & sizes & room).select("a", "b").distinct()
 
 
 def pivot_table(texts: DataFrame) -> DataFrame:
     """(class, n, pivots): sequences and pivot coordinates of each class."""
-    table = references()
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in map(first_copies, blocks(batches, "text")):
             sequences, rows, _ = shingles(*decode(block.column("text")))
             kept, first, number = np.unique(rows, return_index=True, return_inverse=True)
             if len(kept):
-                pivots = coordinates(sequences, number, table)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1) * PIVOTS, pa.int32()), pa.array(pivots.ravel()))
+                pivots = coordinates(sequences, number)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1) * PARTS, pa.int32()), pa.array(pivots.ravel()))
                 yield pa.RecordBatch.from_arrays([block.column("class").take(pa.array(kept)), pa.array(np.diff(np.append(first, len(rows))), pa.int32()), lists], ["class", "n", "pivots"])
 
     return texts.mapInArrow(work, "class bigint, n int, pivots array<smallint>").dropDuplicates(["class"])
@@ -150,7 +219,7 @@ def discard(pairs: DataFrame, table: DataFrame, similarity: float = SIMILARITY)
     """The pairs that no pivot coordinate rules out."""
     rows = table.select("class", "n", "pivots")
     both = pairs.join(rows.toDF("a", "na", "pa"), "a").join(rows.toDF("b", "nb", "pb"), "b")
-    apart = F.array_max(F.zip_with("pa", "pb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))))
+    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
     # the bound holds for whole numbers; the small term is for the rounding of the division
     return both.where(apart <= F.floor((1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-9)).select("a", "b")
 
@@ -173,9 +242,9 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -
     return both.select("a", "b", "ta", "tb").mapInArrow(work, "a bigint, b bigint")
 
 
-def class_links(chunks: DataFrame) -> DataFrame:
+def class_links(chunks: DataFrame, exact: bool = False) -> DataFrame:
     """(a, b): the verified pairs of classes."""
-    pairs = cut(candidate_pairs(band_keys(chunks)))
+    pairs = cut(prefix_pairs(chunks) if exact else candidate_pairs(chunks))
     named = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     texts = cut(checked_join(class_texts(chunks), named, ["class"], "left_semi").dropDuplicates(["class"]))
     return verify(discard(pairs, pivot_table(texts)), texts)
@@ -197,21 +266,37 @@ def members(chunks: DataFrame) -> DataFrame:
     return chunks.where("text is not null and chunk_id is not null").select(F.xxhash64("text").alias("class"), "chunk_id").distinct()
 
 
-def found_chunks(chunks: DataFrame) -> DataFrame:
+def expanded(links: DataFrame, rows: DataFrame) -> DataFrame:
+    """(x, y): the members of linked classes, x < y; a link of a class with itself pairs its members.
+
+    A class of more than ``CLASS_SLOT`` members is cut into slots, and a link into pairs of slots, so no
+    task meets more than ``CLASS_SLOT`` members of a class at once.
+    """
+    sizes = rows.groupBy("class").agg(F.ceil(F.count("*") / CLASS_SLOT).cast("int").alias("slots")).where("slots > 1")
+    sizes = cut(sizes)  # at most (rows / CLASS_SLOT) classes
+    slots = F.coalesce("slots", F.lit(1))
+    placed = checked_join(rows, sizes, ["class"], "left").select("class", "chunk_id", F.pmod(F.xxhash64("chunk_id"), slots).cast("int").alias("slot"))
+    out = links
+    for side in ("a", "b"):
+        named = sizes.withColumnRenamed("class", side)
+        out = out.join(named, side, "left").withColumn(f"slot_{side}", F.explode(F.sequence(F.lit(0), slots - 1))).drop("slots")
+    for side, name in (("a", "x"), ("b", "y")):
+        out = out.join(placed.toDF(side, name, f"slot_{side}"), [side, f"slot_{side}"])
+    return out.where("x <> y and (a <> b or x < y)").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+
+def found_chunks(chunks: DataFrame, exact: bool = False) -> DataFrame:
     """(key_a, key_b): all pairs of near-duplicate chunks.
 
-    The result is defined as pairs of rows, so links of classes are joined with their members; the
-    copies inside a class are paired by an equi-join on the class.
+    The result is defined as pairs of rows, so links of classes are joined with their members, and
+    the copies inside a class are paired. ``chunk_groups`` gives one row a chunk instead.
     """
-    links = cut(class_links(chunks))
+    links = cut(class_links(chunks, exact))
     rows = members(chunks)
-    a, b = rows.toDF("a", "x"), rows.toDF("b", "y")
-    across = links.join(a, "a").join(b, "b").select("x", "y")
     copied = rows.groupBy("class").agg(F.min("chunk_id").alias("low"), F.max("chunk_id").alias("high")).where("low < high").select("class")
-    long = cut(long_classes(checked_join(class_texts(chunks), copied, ["class"], "left_semi"))).toDF("a")
-    inside = a.join(long, "a").join(b.withColumnRenamed("b", "a"), "a").where("x < y").select("x", "y")
-    both = across.unionByName(inside).where("x <> y")
-    return both.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
+    long = cut(long_classes(checked_join(class_texts(chunks), copied, ["class"], "left_semi")))
+    whole = links.unionByName(long.select(F.col("class").alias("a"), F.col("class").alias("b")))
+    return expanded(whole, rows).distinct().toDF("key_a", "key_b")
 
 
 def found_subjects(manifest: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -256,9 +341,9 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.col("b").alias("class"), F.col("a").alias("m")), "class", "left").select("class", F.coalesce("m", "class").alias("group"))
 
 
-def chunk_groups(chunks: DataFrame) -> DataFrame:
+def chunk_groups(chunks: DataFrame, exact: bool = False) -> DataFrame:
     """(chunk_id, group, n_links): every chunk of enough words once, with its group and the number of other texts it is linked to."""
-    links = cut(class_links(chunks))
+    links = cut(class_links(chunks, exact))
     nodes = long_classes(class_texts(chunks))
     degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
     named = components(nodes, links).join(degree, "class", "left")

@@ -33,7 +33,9 @@ def test_pairs_are_those_of_brute_force(spark):
     want = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])}
     df = spark.createDataFrame(rows + rows[:9], CHUNKS).withColumnRenamed("x", "y")
     got = [tuple(r) for r in N.found_chunks(df).collect()]
-    assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.995 * len(want)
+    assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.999 * len(want)
+    exact = [tuple(r) for r in N.found_chunks(df, exact=True).collect()]
+    assert len(exact) == len(set(exact)) and set(exact) == want
     groups = {r["chunk_id"]: r["group"] for r in N.chunk_groups(df).collect()}
     assert set(groups) == set(sets)
     assert all(groups[a] == groups[b] for a, b in got)
@@ -41,21 +43,43 @@ def test_pairs_are_those_of_brute_force(spark):
     assert N.found_chunks(df.limit(0)).count() == 0 and N.chunk_groups(df.limit(0)).count() == 0
 
 
-def test_pivots_never_discard_a_pair_in_reach(spark):
+def sets_of_similarity(rng, n, apart):
+    a = rng.integers(0, 2**60, n).astype(np.uint64)
+    b = a.copy()
+    b[:apart] = rng.integers(0, 2**60, apart).astype(np.uint64)
+    a, b = np.unique(a), np.unique(b)
+    common = len(np.intersect1d(a, b))
+    return a, b, common / (len(a) + len(b) - common)
+
+
+def test_pivots_never_discard_a_pair_in_reach_and_most_others():
     rng = np.random.default_rng(3)
-    table = N.references()
-    for _ in range(200):
-        n = int(rng.integers(5, 120))
-        a = rng.integers(0, 2**60, n).astype(np.uint64)
-        b = a.copy()
-        k = int(rng.integers(0, max(1, n // 4) + 1))
-        b[:k] = rng.integers(0, 2**60, k).astype(np.uint64)
-        a, b = np.unique(a), np.unique(b)
-        common = len(np.intersect1d(a, b))
-        t = common / (len(a) + len(b) - common)
-        x = N.coordinates(a, np.zeros(len(a), np.int64), table)[0].astype(int)
-        y = N.coordinates(b, np.zeros(len(b), np.int64), table)[0].astype(int)
-        assert np.abs(x - y).max() <= (1 - t) / (1 + t) * (len(a) + len(b)) + 1e-9
+    kept = []
+    for _ in range(400):
+        n = int(rng.integers(5, 200))
+        a, b, t = sets_of_similarity(rng, n, int(rng.integers(0, n + 1)))
+        x, y = (N.coordinates(v, np.zeros(len(v), np.int64))[0].astype(int) for v in (a, b))
+        # the largest difference over all unions of parts is the sum over the parts
+        union = x > y
+        assert max(abs(x.sum() - y.sum() - 2 * (x[u].sum() - y[u].sum())) for u in (union, ~union, x == -1)) == np.abs(x - y).sum()
+        assert np.abs(x - y).sum() <= (1 - t) / (1 + t) * (len(a) + len(b)) + 1e-9
+        if t < 0.4 and n > 30:
+            kept.append(np.abs(x - y).sum() <= 0.25 * (len(a) + len(b)))
+    assert len(kept) > 50 and np.mean(kept) < 0.05
+
+
+def test_pairs_do_not_depend_on_how_hot_keys_and_classes_are_split(spark, monkeypatch):
+    rng = random.Random(31)
+    base = [f"w{rng.randrange(300)}" for _ in range(70)]
+    rows = [(f"n{i:02d}", " ".join(base[:-1] + [f"x{i}"])) for i in range(40)] + [(f"c{i:02d}", " ".join(base)) for i in range(30)] + [(f"o{i:02d}", " ".join(f"w{rng.randrange(300)}" for _ in range(50))) for i in range(20)]
+    df = spark.createDataFrame(rows, CHUNKS).repartition(5)
+    plain = {tuple(r) for r in N.found_chunks(df).collect()}
+    monkeypatch.setattr(N, "HOT_CLASSES", 8)
+    monkeypatch.setattr(N, "HOT_SAMPLE", 2)
+    monkeypatch.setattr(N, "CLASS_SLOT", 7)
+    assert N.hot_keys(df).count() > 0
+    split = [tuple(r) for r in N.found_chunks(df).collect()]
+    assert len(split) == len(plain) == 70 * 69 // 2 and set(split) == plain
 
 
 def test_components(spark):
