@@ -14,7 +14,7 @@ pairs are discarded without loss. Survivors are verified exactly on the texts.
 
 A pivot table says which pairs cannot be alike; to propose pairs with it alone all would have to be
 compared with all. The index does that, as an equi-join; two of ``BANDS`` bands must agree. At the
-threshold of 0.6 a pair fails this with a probability of 7e-5, at 0.65 with 3e-7. With ``exact``
+threshold of 0.6 a pair fails this with a probability of 2e-4, at 0.65 with 2e-6. With ``exact``
 pairs come from a prefix filter instead, which loses none: similar texts share one of the first
 n - ceil(t * n) + 1 sequences in any one order of all sequences. Its cost grows with the square
 of the collection where texts are made from the same sentences, so it is not the default.
@@ -41,14 +41,14 @@ from quire.llm.codepoints import DIGIT, LETTER, OTHER_NUMBER, blocks, classes, d
 from quire.llm.repeated_lines import lower_map
 
 SHINGLE, LEAST_WORDS, SIMILARITY = 3, 30, 0.6
-BANDS, ROWS = 88, 4
+BANDS, ROWS = 80, 4
 BITS, PARTS = 2048, 256
 #: Band keys that more classes than this share are dealt out by salts; one class of so many is looked at to find them, and so many keys are taken at most.
-HOT_CLASSES, HOT_SAMPLE, HOT_KEYS, SALTS = 1024, 16, 10_000, 16
+HOT_CLASSES, HOT_SAMPLE, HOT_KEYS, SALTS = 4096, 64, 10_000, 16
 #: Bytes of a (class, key) row and of a task that joins them.
 ROW_BYTES, TASK_BYTES = 24, 8 << 20
-#: Members of a class that meet in one task, and the bits of the frequency sketch of the exact index.
-CLASS_SLOT, SKETCH_BITS = 10_000, 20
+#: Rows of equal text up to which they may all reach the index, members of a class that meet in one task, and the bits of the frequency sketch of the exact index.
+COPIES, CLASS_SLOT, SKETCH_BITS = 256, 10_000, 20
 EDITS, SUBJECT_PIVOTS, GRID = 3, 16, 3
 _HASHES = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -105,8 +105,20 @@ def first_copies(block: pa.RecordBatch) -> pa.RecordBatch:
     return block.take(pa.array(np.sort(at)))
 
 
-def band_keys(chunks: DataFrame) -> DataFrame:
-    """(class, key): ``BANDS`` rows for each text of enough words."""
+def thinned(texts: DataFrame) -> DataFrame:
+    """(class, text) with at most ``COPIES`` rows of a class, so that no text meets itself too often in a join.
+
+    Only the classes that have more are looked up, and only their rows are moved.
+    """
+    many = cut(texts.groupBy("class").agg(F.count("*").alias("n")).where(F.col("n") > COPIES).select("class"))
+    if not many.limit(1).count():
+        return texts
+    once = checked_join(texts, many, ["class"], "left_semi").dropDuplicates(["class"])
+    return checked_join(texts, many, ["class"], "left_anti").unionByName(once)
+
+
+def band_keys(texts: DataFrame) -> DataFrame:
+    """(class, key): ``BANDS`` rows for each text (class, text) of enough words."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in map(first_copies, blocks(batches, "text")):
@@ -118,15 +130,15 @@ def band_keys(chunks: DataFrame) -> DataFrame:
                 keys = bands(sequences, first).view(np.int64)
                 yield pa.RecordBatch.from_arrays([block.column("class").take(pa.array(np.repeat(kept, BANDS))), pa.array(keys.ravel())], ["class", "key"])
 
-    return class_texts(chunks).mapInArrow(work, "class bigint, key bigint")
+    return texts.mapInArrow(work, "class bigint, key bigint")
 
 
-def hot_keys(chunks: DataFrame) -> DataFrame:
+def hot_keys(texts: DataFrame) -> DataFrame:
     """(key): the band keys that many classes share, judged by one class of ``HOT_SAMPLE``; at most ``HOT_KEYS``.
 
     They only say how the work is split; a key that is not among them is joined all the same.
     """
-    sample = chunks.where(F.pmod(F.xxhash64("text"), F.lit(HOT_SAMPLE)) == 0)
+    sample = texts.where(F.pmod("class", F.lit(HOT_SAMPLE)) == 0)
     counts = band_keys(sample).distinct().groupBy("key").agg(F.count("*").alias("n"))
     return counts.where(F.col("n") >= HOT_CLASSES // HOT_SAMPLE).orderBy(F.desc("n"), "key").limit(HOT_KEYS).select("key")
 
@@ -134,23 +146,23 @@ def hot_keys(chunks: DataFrame) -> DataFrame:
 def candidate_pairs(chunks: DataFrame) -> DataFrame:
     """(a, b): classes that share at least two band keys, a < b, each pair once.
 
-    Repeated (class, key) rows, which copies in different blocks make, are dropped where the keys
-    are dealt out, before they are joined. Hot keys are dealt out by salts too. Whether two
-    keys were shared is told by the least and the greatest of them, so partial sums stay two numbers a pair.
+    The rows of hot keys are dealt out by salts too. Whether two keys were shared is told by the
+    least and the greatest of them, so repeated rows count once and partial sums stay two numbers a pair.
     """
     spark = chunks.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chunks.count() * BANDS * ROW_BYTES // TASK_BYTES))
-    keys = band_keys(chunks)
-    hot = cut(hot_keys(chunks))
+    texts = thinned(class_texts(chunks))
+    hot = cut(hot_keys(texts))
     some_hot = hot.limit(1).count() > 0
+    keys = band_keys(texts)
 
     def joined(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
         return left.withColumnRenamed("class", "a").join(right.withColumnRenamed("class", "b"), on).where("a < b").select("a", "b", "key")
 
-    cold = (keys.join(F.broadcast(hot), "key", "left_anti") if some_hot else keys).repartition(n, "key").dropDuplicates(["key", "class"])
+    cold = (keys.join(F.broadcast(hot), "key", "left_anti") if some_hot else keys).repartition(n, "key")
     shared = joined(cold, cold, ["key"])
-    if some_hot:  # at most HOT_KEYS keys: their number of rows a task is bounded by the salts
-        rows = keys.join(F.broadcast(hot), "key", "left_semi").repartition(n, "key", "class").dropDuplicates(["key", "class"])
+    if some_hot:
+        rows = keys.join(F.broadcast(hot), "key", "left_semi")
         left = rows.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int"))
         right = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         shared = shared.unionByName(joined(left, right, ["key", "salt"]))
@@ -266,20 +278,20 @@ def members(chunks: DataFrame) -> DataFrame:
     return chunks.where("text is not null and chunk_id is not null").select(F.xxhash64("text").alias("class"), "chunk_id").distinct()
 
 
-def expanded(links: DataFrame, rows: DataFrame) -> DataFrame:
+def expanded(links: DataFrame, rows: DataFrame, copied: DataFrame) -> DataFrame:
     """(x, y): the members of linked classes, x < y; a link of a class with itself pairs its members.
 
-    A class of more than ``CLASS_SLOT`` members is cut into slots, and a link into pairs of slots, so no
-    task meets more than ``CLASS_SLOT`` members of a class at once.
+    ``copied`` has the classes of several members and their numbers ``n``. A class of more than
+    ``CLASS_SLOT`` is cut into slots, and a link into pairs of slots, so no task meets more than
+    ``CLASS_SLOT`` members of a class at once.
     """
-    sizes = rows.groupBy("class").agg(F.ceil(F.count("*") / CLASS_SLOT).cast("int").alias("slots")).where("slots > 1")
-    sizes = cut(sizes)  # at most (rows / CLASS_SLOT) classes
     slots = F.coalesce("slots", F.lit(1))
-    placed = checked_join(rows, sizes, ["class"], "left").select("class", "chunk_id", F.pmod(F.xxhash64("chunk_id"), slots).cast("int").alias("slot"))
-    out = links
-    for side in ("a", "b"):
-        named = sizes.withColumnRenamed("class", side)
-        out = out.join(named, side, "left").withColumn(f"slot_{side}", F.explode(F.sequence(F.lit(0), slots - 1))).drop("slots")
+    sizes = cut(copied.where(F.col("n") > CLASS_SLOT).select("class", F.ceil(F.col("n") / CLASS_SLOT).cast("int").alias("slots")))
+    placed, out = rows.withColumn("slot", F.lit(0)), links.withColumn("slot_a", F.lit(0)).withColumn("slot_b", F.lit(0))
+    if sizes.limit(1).count():
+        placed = checked_join(rows, sizes, ["class"], "left").select("class", "chunk_id", F.pmod(F.xxhash64("chunk_id"), slots).cast("int").alias("slot"))
+        for side in ("a", "b"):
+            out = out.join(sizes.withColumnRenamed("class", side), side, "left").withColumn(f"slot_{side}", F.explode(F.sequence(F.lit(0), slots - 1))).drop("slots")
     for side, name in (("a", "x"), ("b", "y")):
         out = out.join(placed.toDF(side, name, f"slot_{side}"), [side, f"slot_{side}"])
     return out.where("x <> y and (a <> b or x < y)").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
@@ -292,11 +304,11 @@ def found_chunks(chunks: DataFrame, exact: bool = False) -> DataFrame:
     the copies inside a class are paired. ``chunk_groups`` gives one row a chunk instead.
     """
     links = cut(class_links(chunks, exact))
-    rows = members(chunks)
-    copied = rows.groupBy("class").agg(F.min("chunk_id").alias("low"), F.max("chunk_id").alias("high")).where("low < high").select("class")
-    long = cut(long_classes(checked_join(class_texts(chunks), copied, ["class"], "left_semi")))
+    rows = cut(members(chunks))
+    copied = cut(rows.groupBy("class").agg(F.count("*").alias("n")).where("n > 1"))
+    long = cut(long_classes(checked_join(class_texts(chunks), copied.select("class"), ["class"], "left_semi")))
     whole = links.unionByName(long.select(F.col("class").alias("a"), F.col("class").alias("b")))
-    return expanded(whole, rows).distinct().toDF("key_a", "key_b")
+    return expanded(whole, rows, copied).distinct().toDF("key_a", "key_b")
 
 
 def found_subjects(manifest: DataFrame, edits: int = EDITS) -> DataFrame:
