@@ -4,9 +4,11 @@ Texts are cut at content-defined places: a rolling hash over the code points bef
 decides, so a passage that documents share is cut alike wherever it stands. A task encodes each
 distinct chunk once and assembles the ids of its texts from the chunk dictionary by gathers.
 A cut chosen by the hash is moved to the next place where a blank run begins after a non-blank.
-The pre-tokenizer never joins across such a place, so re-encoding a join there would agree with the
-parts at once. This safe cut stands in for the repair of joins: the operator neither re-encodes nor
-checks the joins inside texts. ``repaired`` re-encodes joins of any cuts; only the tests run it.
+
+Joins are then repaired: for each distinct join of a task, what lies from the nearest such place
+before it to the next one behind it is encoded whole and in its two halves. Where these disagree, the
+chunks of that text are re-encoded with their neighbours and merged until they agree. For patterns that
+never join across a blank after a non-blank, as that of the default tokenizer, all agree at once.
 
 The empty list stands for null and for empty texts. Strings of special tokens in a text are
 ordinary text. Texts without blanks are encoded whole.
@@ -24,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quire.llm.codepoints import BLANK, blocks, classes, decode, hash_ranges, spread
+from quire.llm.codepoints import BLANK, blocks, classes, decode, hash_ranges, mix, row_of, spread
 
 TOKENIZERS = "/opt/tokenizers"
 WINDOW, MASK = 16, np.uint64(0x7 << 40)
@@ -52,14 +54,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def cut_places(codes: np.ndarray, offsets: np.ndarray, mask: np.uint64 = MASK) -> np.ndarray:
-    """Starts of the chunks of non-empty rows, row starts included; each other one depends on the WINDOW code points before it."""
-    n = len(codes)
+def safe_places(codes: np.ndarray) -> np.ndarray:
+    """Where a space or a line feed follows a non-blank."""
     blank = (classes()[codes] & BLANK) > 0
     safe = ((codes == 32) | (codes == 10))
     safe[1:] &= ~blank[:-1]
     safe[:1] = False
-    at = np.flatnonzero(safe)
+    return np.flatnonzero(safe)
+
+
+def cut_places(codes: np.ndarray, offsets: np.ndarray, mask: np.uint64 = MASK, anywhere: bool = False) -> np.ndarray:
+    """Starts of the chunks of non-empty rows, row starts included; each other one depends on the WINDOW code points before it."""
+    n = len(codes)
+    at = np.arange(n) if anywhere else safe_places(codes)
     row_start = offsets[np.searchsorted(offsets, at, "right") - 1]
     at = at[at - row_start >= WINDOW]
     up, down = _powers(1 << max(12, int(n).bit_length()))
@@ -84,6 +91,7 @@ class ChunkDictionary:
     def _clear(self) -> None:
         self.place: dict[int, int] = {}
         self.pool, self.begin, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.joins: dict[int, bool] = {}
 
     def _encoded(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the chunks and their numbers, in one call for all.
@@ -115,10 +123,15 @@ class ChunkDictionary:
             widths = 1 + (line >= 0x80).astype(np.int64) + (line >= 0x800) + (line >= 0x10000)
             byte_ends = np.cumsum(widths)
             first_byte = byte_ends[at] - widths[at]
-            token_starts = np.cumsum(self.widths[ids]) - self.widths[ids]
-            from_, to = np.searchsorted(token_starts, first_byte), np.searchsorted(token_starts, byte_ends[at + (b - a) - 1])
-            if not (token_starts[from_] == first_byte).all():
-                raise AssertionError("a token crosses the join of two chunks")
+            token_starts = np.append(0, np.cumsum(self.widths[ids]))
+            last_byte = byte_ends[at + (b - a) - 1]
+            from_, to = np.searchsorted(token_starts, first_byte), np.searchsorted(token_starts, last_byte)
+            # a token that crosses an end of a chunk: those chunks are encoded alone
+            whole = (token_starts[from_] == first_byte) & (token_starts[to] == last_byte)
+            for k in together[~whole].tolist():
+                parts[k] = self.encode(text[starts[k] : ends[k]])
+                n[k] = len(parts[k])
+            together, from_, to = together[whole], from_[whole], to[whole]
             n[together] = to - from_
             ids = ids[spread(from_, to - from_)]
         if not parts:
@@ -149,6 +162,43 @@ class ChunkDictionary:
         return self.pool[spread(self.begin[chunk], n)], n
 
 
+    def agreeing(self, codes: np.ndarray, offsets: np.ndarray, joins: np.ndarray) -> np.ndarray:
+        """Whether the ids on both sides of each join are those of the text around it; every distinct surrounding is encoded once."""
+        safe = np.unique(np.concatenate([safe_places(codes), offsets]))
+        at = np.searchsorted(safe, joins)
+        low, high = safe[at - 1], safe[np.searchsorted(safe, joins, "right")]
+        hashes = mix(hash_ranges(codes, low, high) + (joins - low).astype(np.uint64))
+        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.joins) + len(unique) > MAX_CHUNKS:
+            self.joins.clear()
+        text, known = None, self.joins
+        for h, k in zip(unique.tolist(), first.tolist()):
+            if h not in known:
+                if text is None:
+                    text = codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+                left, right = text[low[k] : joins[k]], text[joins[k] : high[k]]
+                known[h] = self.encode(left + right) == self.encode(left) + self.encode(right)
+        return np.fromiter((known[h] for h in unique.tolist()), bool, len(unique))[inverse]
+
+    def ids(self, codes: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows of a block cut at ``starts``, one row after the other, and the offsets of the rows among them."""
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        ends = np.append(starts[1:], len(codes)).astype(np.int64)
+        ids, n = self.look_up(codes, hash_ranges(codes, starts, ends), starts, ends)
+        first = np.searchsorted(starts, offsets, "left")
+        total = np.concatenate([[0], np.cumsum(n)])[first]
+        joins = np.setdiff1d(starts, offsets)
+        wrong = np.unique(row_of(offsets, joins[~self.agreeing(codes, offsets, joins)])) if len(joins) else joins
+        if not len(wrong):
+            return ids, total
+        text = codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        rows = [ids[a:b] for a, b in zip(total, total[1:])]
+        for r in wrong.tolist():
+            rows[r] = np.array(repaired([text[starts[k] : ends[k]] for k in range(first[r], first[r + 1])], self.encode), np.int32)
+        return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+
+
 def repaired(parts: list[str], encode) -> list[int]:
     """Ids of the joined parts: at each join the neighbours are re-encoded together and merged until both agree."""
     done: list[str] = []
@@ -167,14 +217,7 @@ def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
         dictionary = ChunkDictionary(encoder(tokenizer, folder))
         for block in blocks(batches, text):
             codes, offsets = decode(block.column(text))
-            starts = cut_places(codes, offsets)
-            ends = np.append(starts[1:], len(codes)).astype(np.int64)
-            total = np.zeros(len(offsets), np.int64)
-            ids = np.zeros(0, np.int32)
-            if len(starts):
-                ids, n = dictionary.look_up(codes, hash_ranges(codes, starts, ends), starts, ends)
-                summed = np.concatenate([[0], np.cumsum(n)])
-                total = summed[np.searchsorted(starts, offsets, "left")]
+            ids, total = dictionary.ids(codes, offsets, cut_places(codes, offsets))
             lists = pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(ids))
             yield pa.RecordBatch.from_arrays([block.column(key), lists], [key, "ids"])
 

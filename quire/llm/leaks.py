@@ -11,8 +11,8 @@ that a backward search of phrases of that length compares. Words are runs of let
 after folding case, accents and compatibility forms. Words carry 64-bit hashes.
 
 Null, empty and short texts match nothing; an item under ``MIN_WORDS`` words has no phrase. The
-test set is fixed and small; it is searched in blocks of at most ``ITEMS_BLOCK`` phrases, and
-``MAX_ITEM_WORDS`` bounds what is broadcast: beyond it the corpus is passed over once for each part.
+test set is searched in blocks of at most ``ITEMS_BLOCK`` phrases, and ``MAX_ITEM_WORDS`` bounds what
+is fetched and broadcast at a time: beyond it the corpus is passed over once for each part.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from quire.functions.stages import cut
 from quire.llm.codepoints import DIGIT, LETTER, OTHER_NUMBER, CharMap, blocks, classes, decode, hash_ranges, runs, spread, tabulated
 
 MIN_WORDS = 12
@@ -213,24 +214,30 @@ class Phrases:
         return row[first], item[first], a[begin[first]] - offsets[row[first]], b[begin[last] + MIN_WORDS - 1] - offsets[row[first]]
 
 
-def phrase_parts(items: DataFrame) -> list[Phrases]:
-    """The test texts on the driver: measured first, then fetched in parts of at most ``MAX_ITEM_WORDS`` words."""
+def item_parts(items: DataFrame) -> list[DataFrame]:
+    """The test texts in parts of at most ``MAX_ITEM_WORDS`` words and one text each, told from their measured sizes."""
     texts = items.select("item_id", "text").where("item_id is not null and length(text) > 0").distinct()
-    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = 1 + size // (2 * MAX_ITEM_WORDS)
-    parts = []
-    for k in range(n):
-        part = (texts.where(F.pmod("item_id", F.lit(n)) == k) if n > 1 else texts).toPandas()
-        parts.append(Phrases(part["item_id"].tolist(), part["text"].tolist()))
-    return parts
+    total, longest = texts.agg(F.sum(F.length("text")), F.max(F.length("text"))).first()
+    # a word and what stands before it take two code points at least; a single text may be over the bound
+    most, n = 2 * MAX_ITEM_WORDS + (longest or 0), 1
+    while (total or 0) > most:
+        n *= 2
+        part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+        total = texts.groupBy(part.alias("part")).agg(F.sum(F.length("text")).alias("n")).agg(F.max("n")).first()[0]
+    return [texts] if n == 1 else [texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
 def spans(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, first, last): code-point spans of leaked passages; first counts from 0, last is exclusive."""
+    """(doc_id, item_id, first, last): code-point spans of leaked passages; first counts from 0, last is exclusive.
+
+    One part of the test texts is on the driver at a time. Where there are several, each is searched for,
+    its spans are written to the shared folder, and its broadcast is given up before the next.
+    """
     spark = documents.sparkSession
 
-    def searched(phrases: Phrases) -> DataFrame:
-        shared = spark.sparkContext.broadcast(phrases)
+    def searched(part: DataFrame):
+        rows = part.toPandas()
+        shared = spark.sparkContext.broadcast(Phrases(rows["item_id"].tolist(), rows["text"].tolist()))
 
         def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for block in blocks(batches, "text", limit=SHARD_BYTES):
@@ -238,9 +245,17 @@ def spans(documents: DataFrame, items: DataFrame) -> DataFrame:
                 ids = block.column("doc_id").take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(item), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["doc_id", "item_id", "first", "last"])
 
-        return documents.select("doc_id", "text").mapInArrow(work, "doc_id bigint, item_id bigint, first int, last int")
-
-    return reduce(DataFrame.unionByName, map(searched, phrase_parts(items)))
+        return documents.select("doc_id", "text").mapInArrow(work, "doc_id bigint, item_id bigint, first int, last int"), shared
+
+    parts = item_parts(items)
+    if len(parts) == 1:
+        return searched(parts[0])[0]
+    done = []
+    for part in parts:
+        found, shared = searched(part)
+        done.append(cut(found))
+        shared.unpersist()
+    return reduce(DataFrame.unionByName, done)
 
 
 def found_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -156,17 +156,26 @@ ENCODABLE = st.text(max_size=200) | st.text("a bé\n'  <|endoftext|>1漢\x85 ",
 def test_ids_are_those_of_encoding_each_text_alone(texts):
     texts = [t if t is None else t.encode("utf-8", "ignore").decode() for t in texts]
     tokenizer = encoding.encoder("byte_bpe_50k", encoding.TOKENIZERS)
+    want = [tokenizer.encode_ordinary(t) if t else [] for t in texts]
+    codes, offsets = C.decode(pa.array(texts, pa.string()))
+    for anywhere in (False, True):
+        dictionary = encoding.ChunkDictionary(tokenizer)
+        for _ in range(2):
+            ids, total = dictionary.ids(codes, offsets, encoding.cut_places(codes, offsets, np.uint64(1), anywhere))
+            assert [ids[a:b].tolist() for a, b in zip(total, total[1:])] == want
+
+
+def test_unsafe_cuts_are_found_and_repaired():
+    tokenizer = encoding.encoder("byte_bpe_50k", encoding.TOKENIZERS)
+    texts = ["semaphores and interrupts share the system bus of every node", "plain"]
+    codes, offsets = C.decode(pa.array(texts, pa.string()))
     dictionary = encoding.ChunkDictionary(tokenizer)
-    for _ in range(2):
-        codes, offsets = C.decode(pa.array(texts, pa.string()))
-        starts = encoding.cut_places(codes, offsets, np.uint64(1))
-        ends = np.append(starts[1:], len(codes)).astype(np.int64)
-        if not len(starts):
-            assert not any(texts)
-            return
-        ids, n = dictionary.look_up(codes, C.hash_ranges(codes, starts, ends), starts, ends)
-        total = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, offsets, "left")]
-        assert [ids[a:b].tolist() for a, b in zip(total, total[1:])] == [tokenizer.encode_ordinary(t) if t else [] for t in texts]
+    inside = np.arange(1, 10)
+    bad = inside[~dictionary.agreeing(codes, offsets, inside)]
+    assert len(bad)
+    starts = np.array([0, bad[0], 30, 33, int(offsets[1])])
+    ids, total = dictionary.ids(codes, offsets, starts)
+    assert [ids[a:b].tolist() for a, b in zip(total, total[1:])] == [tokenizer.encode_ordinary(t) for t in texts]
 
 
 def test_joins_are_repaired_until_they_agree():
@@ -218,6 +227,13 @@ def test_leaks_are_those_of_brute_force(spark):
     for r in leaks.spans(docs, tests).collect():
         part = words_of(texts[r["doc_id"]][r["first"] : r["last"]])
         assert len(part) >= 12 and all(r["item_id"] in phrases[tuple(part[k : k + 12])] for k in range(len(part) - 11))
+    whole = leaks.MAX_ITEM_WORDS
+    leaks.MAX_ITEM_WORDS = 300
+    try:
+        assert len(leaks.item_parts(tests)) > 1
+        assert {tuple(r) for r in leaks.found_leaks(docs, tests).collect()} == want
+    finally:
+        leaks.MAX_ITEM_WORDS = whole
     merged = leaks.removal_spans(docs, tests).collect()
     assert {r["doc_id"] for r in merged} == {d for d, _ in want}
     assert leaks.found_leaks(docs.limit(0), tests).count() == 0 and leaks.found_leaks(docs, tests.limit(0)).count() == 0
