@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quire.functions.tables import salted_join
 
-#: Rows of a small side up to which it is broadcast; measured before, never assumed.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes of a small side up to which it is broadcast; measured before, never assumed.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 
 
 def configured_folder(spark: SparkSession) -> str | None:
@@ -18,13 +18,15 @@ def configured_folder(spark: SparkSession) -> str | None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one only where none is set, as in tests."""
+    """The folder of spark.checkpoint.dir; a local one only where none is set and all runs on this machine, as in tests."""
     sc = spark.sparkContext
-    folder = sc.getCheckpointDir()
-    if folder is None:
-        sc.setCheckpointDir(configured_folder(spark) or tempfile.mkdtemp(prefix="quire-"))
-        folder = sc.getCheckpointDir()
-    return folder
+    if (folder := sc.getCheckpointDir()) is not None:
+        return folder
+    folder = configured_folder(spark)
+    if folder is None and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quire-"))
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -33,10 +35,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` (which should be cheap to read) has so few rows and bytes, told from its rows; strings and arrays are measured."""
+    width = F.lit(0)
+    for name, kind in df.dtypes:
+        text = F.col(f"`{name}`") if kind in ("string", "binary") else F.to_json(F.struct(f"`{name}`")) if kind.startswith(("array", "map", "struct")) else None
+        width = width + (F.lit(8) if text is None else F.coalesce(F.octet_length(text), F.lit(0)) + 16)
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.sum(width)).first()
+    return n <= rows and (total or 0) <= size
+
+
 def checked_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
-    """Equi-join with a small side of unknown size: computed and counted first, then broadcast, or salted beyond ``most`` rows."""
+    """Equi-join with a small side of unknown size: computed and measured first, then broadcast, or salted beyond ``most`` rows or ``BROADCAST_BYTES``."""
     small = cut(small)
-    if small.limit(most + 1).count() <= most:
+    if is_small(small, most):
         return big.join(F.broadcast(small), keys, how)
     return salted_join(big, small, keys, how=how)
 
