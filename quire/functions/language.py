@@ -1,20 +1,36 @@
 """Language of a text by character trigrams: multinomial naive Bayes over the configured languages.
 
 The trigram counts are one aggregate over all labelled rows; the model keeps the ``most`` most frequent
-trigrams, which bounds what is collected and broadcast.
+trigrams, which bounds what is collected and broadcast. Texts are scored a block at a time: their code
+points form one array, trigrams are numbers, and scores are gathered and summed by row.
 """
 
 from __future__ import annotations
 
-import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 MOST = 20_000
+#: Code points worked on at a time.
+BLOCK = 1 << 20
+
+
+def gram_numbers(codes: np.ndarray) -> np.ndarray:
+    """The number of the three code points that begin at each place but the last two."""
+    c = codes.astype(np.int64)
+    return c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+
+
+def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts one after the other, and where each text begins."""
+    lengths = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+    whole = "".join(texts.to_pylist()) if len(texts) else ""
+    return np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32), np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
 
 
 def trigram_counts(df: DataFrame, text: str, label: str) -> DataFrame:
@@ -36,24 +52,43 @@ class TrigramModel:
         place = {g: i for i, g in enumerate(grams)}
         for r in rows:
             table[place[r["gram"]], languages.index(r["label"])] += r["n"]
-        self.scores = {g: np.log(table[i] / table.sum(0)) for g, i in place.items()} if rows else {}
-
-    def classify(self, text: str) -> tuple[str, float]:
-        plain = " " + re.sub(r"[\W\d_]+", " ", text.lower()).strip() + " "
-        total = np.zeros(len(self.languages))
-        for i in range(len(plain) - 2):
-            if (s := self.scores.get(plain[i : i + 3])) is not None:
-                total += s
-        p = np.exp(total - total.max())
-        best = int(p.argmax())
-        return self.languages[best], float(p[best] / p.sum())
+        scores = np.log(table / table.sum(0)) if rows else table
+        keys = gram_numbers(np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32))[::3] if rows else np.zeros(0, np.int64)
+        order = np.argsort(keys)
+        self.keys, self.scores = keys[order], scores[order]
+
+    def classify(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the likeliest language of each text, and its share of the likelihood."""
+        plain = pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}]+", " "))
+        codes, starts = code_points(pc.binary_join_element_wise(" ", plain, " ", ""))
+        total = np.zeros((len(texts), len(self.languages)))
+        if len(codes) > 2 and len(self.keys):
+            grams = gram_numbers(codes)
+            row = np.searchsorted(starts, np.arange(len(grams)), "right") - 1
+            at = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
+            hit = np.flatnonzero((self.keys[at] == grams) & (np.arange(len(grams)) + 2 < starts[row + 1]))
+            for k in range(len(self.languages)):
+                total[:, k] = np.bincount(row[hit], self.scores[at[hit], k], len(texts))
+        p = np.exp(total - total.max(1, keepdims=True))
+        best = p.argmax(1)
+        return best, p[np.arange(len(p)), best] / p.sum(1)
+
+    def detect_all(self, texts: pa.Array, min_chars: int = 20, min_confidence: float = 0.8) -> pa.Array:
+        """The language of each text; null for null, for under ``min_chars`` letters and for a guess under ``min_confidence``."""
+        out, ends = [], np.cumsum(pc.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, "right")))
+            part = texts.slice(at, to - at).fill_null("")
+            letters = pc.utf8_length(pc.replace_substring_regex(part, r"[^\p{L}]+", "")).to_numpy(zero_copy_only=False)
+            best, confidence = self.classify(part)
+            unsure = (letters < max(min_chars, 1)) | ~(confidence >= min_confidence)
+            out.append(pa.array(np.array(self.languages, object)[best], pa.string(), mask=unsure))
+            at = to
+        return pa.chunked_array(out, pa.string()).combine_chunks()
 
     def detect(self, text: str | None, min_chars: int = 20, min_confidence: float = 0.8) -> str | None:
-        """The language, or None for a text under ``min_chars`` letters or a guess under ``min_confidence``."""
-        if text is None or sum(c.isalpha() for c in text) < min_chars or math.isnan(min_confidence):
-            return None
-        language, confidence = self.classify(text)
-        return language if confidence >= min_confidence else None
+        return self.detect_all(pa.array([text], pa.string()), min_chars, min_confidence)[0].as_py()
 
     def column(self, text: Column, min_chars: int = 20, min_confidence: float = 0.8) -> Column:
         model = self
@@ -61,6 +96,6 @@ class TrigramModel:
         @F.pandas_udf("string")
         def detected(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for texts in batches:
-                yield texts.map(lambda t: model.detect(t, min_chars, min_confidence))
+                yield model.detect_all(pa.array(texts, pa.string(), from_pandas=True), min_chars, min_confidence).to_pandas()
 
         return detected(text)

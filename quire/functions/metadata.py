@@ -6,11 +6,10 @@ from pyspark.sql import Column, functions as F
 
 #: The kinds of document a folder may name.
 DOC_TYPES = ("theory", "labs", "exercises", "exams")
-#: The forms of names and years, and the two ways a file name states a year.
+#: The forms of names and years, the signs between two years, and the range of two-digit years written together.
 SLUG = r"^[a-z0-9_]+$"
 ACADEMIC_YEAR = r"^\d{4}-\d{2}$"
-YEAR_WITH_SIGN = r"(?<!\d)(20\d{2})[-_/](\d{2}|20\d{2})(?!\d)"
-YEAR_PAIR = r"(?<!\d)(\d{4})(?!\d)"
+YEAR_SIGNS, FIRST_SHORT, LAST_SHORT = "-_/", 10, 50
 OUTSIDE = "no label: the file lies outside a subject folder and a document type folder"
 
 
@@ -18,21 +17,32 @@ def two(number: Column) -> Column:
     return F.lpad(number.cast("string"), 2, "0")
 
 
+def is_slug(c: Column) -> Column:
+    return c.rlike(SLUG)
+
+
 def is_academic_year(c: Column) -> Column:
     """yyyy-yy with consecutive years."""
     return c.rlike(ACADEMIC_YEAR) & ((F.substring(c, 1, 4).cast("int") + 1) % 100 == F.substring(c, 6, 2).cast("int"))
 
 
 def year_from_filename(name: Column) -> Column:
-    """The academic year a file name states: 20yy and the next year with a sign between, else two consecutive
-    two-digit years from 10 to 50 written together; null where neither holds."""
-    start, end = F.regexp_extract(name, YEAR_WITH_SIGN, 1), F.regexp_extract(name, YEAR_WITH_SIGN, 2)
-    stated = F.when((start != "") & ((start.cast("int") + 1) % 100 == end.cast("int") % 100), F.concat(start, F.lit("-"), two(end.cast("int") % 100)))
-    pairs = F.regexp_extract_all(name, F.lit(YEAR_PAIR), F.lit(1))
-    first, second = lambda p: F.substring(p, 1, 2).cast("int"), lambda p: F.substring(p, 3, 2).cast("int")
-    good = F.filter(pairs, lambda p: first(p).between(10, 50) & ((first(p) + 1) % 100 == second(p)))
-    compact = F.when(F.size(good) > 0, F.concat(F.lit("20"), F.substring(good[0], 1, 2), F.lit("-"), F.substring(good[0], 3, 2)))
-    return F.coalesce(stated, compact)
+    """The academic year a file name states: 20yy and the next year with one sign between, else two consecutive
+    two-digit years from 10 to 50 written together; null where neither holds.
+
+    The name is taken apart into its runs of digits. Whatever is no digit and no sign becomes two marks,
+    so two neighbouring runs have exactly one sign between them.
+    """
+    runs = F.split(F.regexp_replace(name, f"[^0-9{YEAR_SIGNS.replace('-', '')}-]", ".."), "[^0-9]")
+    century = lambda r: (F.length(r) == 4) & F.startswith(r, F.lit("20"))
+    pairs = F.zip_with(runs, F.slice(runs, 2, F.greatest(F.size(runs) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    first_of = lambda a: F.try_element_at(a, F.lit(1))
+    stated = first_of(F.filter(pairs, lambda p: century(p["a"]) & ((F.length(p["b"]) == 2) | century(p["b"]))))
+    start, end = stated["a"].cast("int"), stated["b"].cast("int") % 100
+    with_sign = F.when((start + 1) % 100 == end, F.concat(start.cast("string"), F.lit("-"), two(end)))
+    first, second = lambda r: F.substring(r, 1, 2).cast("int"), lambda r: F.substring(r, 3, 2).cast("int")
+    short = first_of(F.filter(runs, lambda r: (F.length(r) == 4) & first(r).between(FIRST_SHORT, LAST_SHORT) & ((first(r) + 1) % 100 == second(r))))
+    return F.coalesce(with_sign, F.concat(F.lit("20"), F.substring(short, 1, 2), F.lit("-"), F.substring(short, 3, 2)))
 
 
 def folder_hint(rel_path: Column) -> tuple[Column, Column, Column]:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions.tables import all_of, latest_rows
-from quire.functions.text import escape_like
 
 KEY = ["user_id", "doc_id"]
 #: Fixed value: how documents without a label are counted.
@@ -29,8 +28,8 @@ def documents(manifest: DataFrame, user_id: str, source: str | None = None) -> D
 
 def matches(query: str) -> Column:
     """Document id prefix or part of the path, letters of either case, wildcards taken literally."""
-    plain = escape_like(query)
-    return F.col("doc_id").ilike(f"{plain}%") | F.col("rel_path").ilike(f"%{plain}%")
+    wanted = F.lower(F.lit(query))
+    return F.startswith(F.lower("doc_id"), wanted) | F.contains(F.lower("rel_path"), wanted)
 
 
 def find(manifest: DataFrame, user_id: str, query: str) -> DataFrame:

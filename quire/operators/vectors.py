@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from quire.functions.tables import all_of
 
-#: Query vectors that one pass over the collection searches; bounds what is broadcast.
-QUERY_BLOCK = 4096
+#: Bytes of query vectors that one pass over the collection searches, which bounds what is broadcast, and scores that a task holds at a time.
+QUERY_BYTES, SCORES = 32 << 20, 1 << 22
 
 
 def hash_embedding(df: DataFrame, text: str = "text", dimension: int = 64, column: str = "embedding") -> DataFrame:
@@ -22,23 +22,21 @@ def hash_embedding(df: DataFrame, text: str = "text", dimension: int = 64, colum
 
     Null and empty texts get the trace alone, so no vector is zero. Words are runs of word characters in lower case.
     """
-    pattern = re.compile(r"\w+")
-
+    # a word's bucket is computed once in a task; its places in the texts are one count over all of a batch
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket: dict[str, int] = {}
+        known: dict[str, int] = {}
         for batch in batches:
-            vectors = np.zeros((batch.num_rows, dimension))
-            for k, value in enumerate(batch.column(text).to_pylist()):
-                for word in pattern.findall((value or "").lower()):
-                    at = bucket.get(word)
-                    if at is None:
-                        if len(bucket) > 500_000:
-                            bucket.clear()
-                        at = bucket[word] = zlib.crc32(word.encode()) % dimension
-                    vectors[k, at] += 1
-            vectors[:, 0] += 1e-6
+            lists = pc.split_pattern_regex(pc.utf8_lower(batch.column(text).fill_null("")), pattern=r"[^\p{L}\p{N}_]+")
+            words = lists.flatten().dictionary_encode()
+            if len(known) > 500_000:
+                known.clear()
+            bucket = np.array([-1 if not w else known[w] if w in known else known.setdefault(w, zlib.crc32(w.encode()) % dimension) for w in words.dictionary.to_pylist()], np.int64)
+            rows = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            at = bucket[words.indices.to_numpy(zero_copy_only=False)] if len(bucket) else np.zeros(0, np.int64)
+            vectors = np.bincount((rows * dimension + at)[at >= 0], minlength=batch.num_rows * dimension).astype(np.float64)
+            vectors[::dimension] += 1e-6
             ends = pa.array(np.arange(batch.num_rows + 1) * dimension, pa.int32())
-            yield batch.append_column(column, pa.ListArray.from_arrays(ends, pa.array(vectors.ravel(), pa.float32())))
+            yield batch.append_column(column, pa.ListArray.from_arrays(ends, pa.array(vectors, pa.float32())))
 
     return df.mapInArrow(work, StructType([*df.schema.fields, StructField(column, ArrayType(FloatType()))]))
 
@@ -74,43 +72,82 @@ def search(vectors: DataFrame, query: Sequence[float], where: Column | None = No
     return scored.where("score is not null").orderBy(F.desc("score"), key).limit(k)
 
 
-def search_all(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
+def numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a column of lists as rows of a matrix, with the places of those that are no null."""
+    at = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    flat = column.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(at), -1) if len(at) else np.zeros((0, 1)), at
+
+
+def unit_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that are no zero vector, at length one, and their places."""
+    size = np.linalg.norm(x, axis=1)
+    at = np.flatnonzero(size > 0)
+    return x[at] / size[at, None], at
+
+
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` greatest scores of each row and their ids, in order, ties by id."""
+    k = min(k, scores.shape[1])
+    least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    row, column = np.nonzero(scores >= least[:, None])
+    order = np.lexsort((ids[row, column], -scores[row, column], row))
+    row, column = row[order], column[order]
+    chosen = np.arange(len(row)) - np.searchsorted(row, row) < k
+    shape = (len(scores), k)
+    return scores[row[chosen], column[chosen]].reshape(shape), ids[row[chosen], column[chosen]].reshape(shape)
+
+
+class Nearest:
+    """The best ``k`` rows met so far for each of the query vectors."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = queries, k
+        self.scores, self.ids = np.zeros((len(queries), 0)), None
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        step = max(1, SCORES // max(1, len(self.queries)))
+        for at in range(0, len(vectors), step):
+            part, names = vectors[at : at + step], ids[at : at + step]
+            scores = np.round(self.queries @ part.T, 12)
+            names = np.broadcast_to(names, scores.shape)
+            if self.ids is not None:
+                scores, names = np.concatenate([self.scores, scores], 1), np.concatenate([self.ids, names], 1)
+            self.scores, self.ids = best_of(scores, names, self.k)
+
+
+def key_values(column: pa.Array) -> np.ndarray:
+    return np.array(column.to_pylist(), str) if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column.to_numpy(zero_copy_only=False)
+
+
+def search_all(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", block: int | None = None) -> DataFrame:
     """(query_id, key, score, rank): the exact ``k`` nearest rows of every query, by blocks of queries.
 
-    Each pass broadcasts at most ``block`` query vectors; every task keeps the best ``k`` of its rows, so a query
-    brings k rows a task to the last step. Zero and null vectors are left out.
+    Each pass broadcasts at most ``block`` query vectors (``QUERY_BYTES`` of them by default); every task keeps the
+    best ``k`` of its rows, so a query brings k rows a task to the last step. Zero and null vectors are left out.
     """
     kind = vectors.schema[key].dataType.simpleString()
-    n = -(-queries.count() // block) or 1
+    queries = queries.where(F.col(vector).isNotNull()).select(key, vector)
+    count, width = queries.agg(F.count("*"), F.max(F.size(vector))).first()
+    n = -(-count // (block or max(1, QUERY_BYTES // (8 * (width or 1))))) or 1
     found = None
     for part in range(n):
         chosen = queries if n == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == part)
-        rows = chosen.where(F.col(vector).isNotNull()).select(key, vector).orderBy(key).collect()
-        if not rows:
+        rows = chosen.orderBy(key).toArrow().combine_chunks()
+        if not rows.num_rows:
             continue
-        ids = [r[0] for r in rows]
-        matrix = np.array([r[1] for r in rows], np.float64)
-        length = np.linalg.norm(matrix, axis=1)
-        shared = vectors.sparkSession.sparkContext.broadcast(([i for i, x in zip(ids, length) if x > 0], matrix[length > 0] / length[length > 0, None]))
+        asked, at = unit_rows(numbers(rows.column(vector).combine_chunks())[0])
+        shared = vectors.sparkSession.sparkContext.broadcast((key_values(rows.column(key).combine_chunks())[at], asked))
 
         def work(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            best_s, best_i = np.full((len(q), 0), 0.0), np.zeros((len(q), 0), object)
+            ids, asked = shared.value
+            best = Nearest(asked, k)
             for batch in batches:
-                values = batch.column(vector)
-                keep = values.is_valid().to_numpy(zero_copy_only=False)
-                names = np.array(batch.column(key).to_pylist(), object)[keep]
-                x = np.array([v for v in values.to_pylist() if v is not None], np.float64).reshape(len(names), -1)
-                size = np.linalg.norm(x, axis=1)
-                names, x = names[size > 0], x[size > 0] / size[size > 0, None]
-                if not len(names):
-                    continue
-                s = np.concatenate([best_s, np.round(q @ x.T, 12)], 1)
-                i = np.concatenate([best_i, np.broadcast_to(names, (len(q), len(names)))], 1)
-                order = _best(s, i, k)
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            if best_s.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, object), best_s.shape[1]).tolist()), pa.array(best_i.ravel().tolist()), pa.array(best_s.ravel())], ["query_id", key, "score"])
+                x, valid = numbers(batch.column(vector))
+                x, solid = unit_rows(x)
+                best.add(key_values(batch.column(key))[valid[solid]], x)
+            if best.ids is not None and len(asked):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.ids.shape[1])), pa.array(best.ids.ravel()), pa.array(best.scores.ravel())], ["query_id", key, "score"])
 
         part_found = vectors.select(key, vector).mapInArrow(work, f"query_id {kind}, {key} {kind}, score double")
         found = part_found if found is None else found.unionByName(part_found)
@@ -120,17 +157,6 @@ def search_all(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "v
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _best(s: np.ndarray, i: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the ``k`` best of each row, ties by id."""
-    k = min(k, s.shape[1])
-    out = np.zeros((len(s), k), np.int64)
-    for r in range(len(s)):
-        least = np.partition(s[r], -k)[-k]
-        at = np.flatnonzero(s[r] >= least)
-        out[r] = sorted(at.tolist(), key=lambda c: (-s[r, c], i[r, c]))[:k]
-    return out
-
-
 def replace_documents(points: DataFrame, new: DataFrame, touched: DataFrame, keys: Sequence[str] = ("user_id", "doc_id")) -> DataFrame:
     """The points after the touched documents got their new ones; a touched document without new points loses all."""
     return points.join(touched.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)

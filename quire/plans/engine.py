@@ -15,7 +15,7 @@ from quire.functions import metadata as M, text as T
 from quire.functions.language import TrigramModel
 from quire.functions.stages import cut
 from quire.operators import chunking, cleaning, extracting, manifest as MF, registering, vectors
-from quire.operators.embedding import Embedder, embedding_text, make_embedder
+from quire.operators.embedding import Embedder, embedder_for, embedding_text
 from quire.plans.settings import ConfigError, Settings
 from quire.sources import files as FS
 from quire.sources.loaders import Registry, default_registry, extractor_version, load_pages
@@ -33,7 +33,7 @@ class Engine:
         self.spark, self.settings = spark, settings
         self.registry = registry or default_registry()
         e = settings.embedding
-        self.embedder = embedder or make_embedder(e.provider, e.model, e.dimension, e.batch_size, settings.embedder_url)
+        self.embedder = embedder or embedder_for(e.provider, e.model, e.dimension, e.batch_size, settings.embedder_url)
         self.language_model = language_model
         table = lambda name, schema, by=(): SnapshotTable(spark, f"{settings.data_dir}/{name}", schema, by)
         self.manifest, self.stages = table("manifest", S.MANIFEST), table("stages", S.STAGES)
@@ -112,8 +112,8 @@ class Engine:
     def chunk(self, force: bool = False) -> DataFrame:
         """Clean and cut the extracted documents that are due; (rel_path, status, detail)."""
         c, h = self.settings.cleaning, self.settings.chunking
-        prefix = chunking.chunker_version({"cleaning": asdict(c), "chunking": asdict(h)}, "")
-        documents = self.manifest.read().join(self.extracted.read().select(*KEY, "extractor"), KEY).withColumn("wanted", F.concat(F.lit(prefix), "extractor"))
+        rules = {"cleaning": asdict(c), "chunking": asdict(h)}
+        documents = self.manifest.read().join(self.extracted.read().select(*KEY, "extractor"), KEY).withColumn("wanted", chunking.chunker_version(rules, F.col("extractor")))
         due = self._to_do(documents, "chunk", self.chunked.read(), force)
         pages = cut(self.pages.read().join(due.select(*KEY), KEY, "left_semi"))
         limits = asdict(c)

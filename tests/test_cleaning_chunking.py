@@ -48,23 +48,38 @@ def test_extra_columns_do_not_clash(make_pages):
     assert clean(pages) == ["a", "b"]
 
 
-def test_packing_keeps_all_words_in_order_and_the_limits():
-    rng = random.Random(3)
-    for _ in range(200):
-        blocks = ["\n".join(" ".join(f"w{rng.randrange(99)}" for _ in range(rng.randrange(1, 60))) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(1, 12))]
-        text = "\n\n".join(blocks)
-        parts = chunking.pack(text, 50, 40)
-        assert " ".join(parts).split() == text.split() and all(len(p.split()) <= 50 for p in parts)
-        if len(parts) > 1:
-            assert len(parts[-1].split()) >= 10 or len(parts[-1].split()) + len(parts[-2].split()) > 50
+def pieces(spark, texts, *limits):
+    """The chunks of each text, by its place."""
+    pages = spark.createDataFrame(list(enumerate(texts)), "number int, text string")
+    found = {}
+    for r in chunking.split_pages(pages, *limits).orderBy("number", "part").collect():
+        found.setdefault(r["number"], []).append(r["text"])
+        assert r["part"] == len(found[r["number"]]) - 1
+    return [found.get(i, []) for i in range(len(texts))]
 
 
-def test_whole_pages_keep_their_inner_lines():
-    assert chunking.pack(" a\nb \n\n c ") == ["a\nb \n\n c"] and chunking.pack(" \n") == []
+def test_packing_keeps_all_words_in_order_and_the_limits(spark):
+    rng = random.Random(3)
+    block = lambda: "\n".join(" ".join(f"w{rng.randrange(99)}" for _ in range(rng.randrange(1, 60))) for _ in range(rng.randrange(1, 4)))
+    texts = ["\n\n".join(block() for _ in range(rng.randrange(1, 12))) for _ in range(200)]
+    for text, parts in zip(texts, pieces(spark, texts, 50, 40, 1)):
+        sizes = [len(p.split()) for p in parts]
+        assert " ".join(parts).split() == text.split() and max(sizes) <= 50
+        if len(parts) > 1:
+            assert sizes[-1] >= 10 or sum(sizes[-2:]) > 50
+        # a chunk under the target stays open as long as the next unit has room: two neighbours never fit together, but for the last
+        assert all(a >= 40 or a + b > 40 for a, b in zip(sizes, sizes[1:-1]))
 
 
-def test_long_lines_are_windowed():
-    assert [len(p.split()) for p in chunking.pack(" ".join(["w"] * 25), 10, 8)] == [10, 10, 5]
+def test_cases_of_packing(spark):
+    texts = [" a\nb \n\n c ", " \n", None, " ".join(["w"] * 25), "a b c d e f\n\ng h\n \u00a0\ni", "one two three four five six\nseven eight nine ten eleven"]
+    got = pieces(spark, texts, 10, 8, 1)
+    assert got[0] == ["a\nb \n\n c"] and got[1] == got[2] == [] and [len(p.split()) for p in got[3]] == [10, 10, 5]
+    assert got[4] == ["a b c d e f\n\ng h\n \u00a0\ni"]
+    assert got[5] == ["one two three four five six", "seven eight nine ten eleven"]
+    assert pieces(spark, texts[4:5], 8, 4, 1) == [["a b c d e f", "g h\n\ni"]] and pieces(spark, ["a b"], 10, 8, 3) == [[]]
+    # a small rest joins the chunk before it
+    assert [len(p.split()) for p in pieces(spark, ["\n\n".join(["w " * 8, "w " * 8, "w"])], 10, 8, 1)[0]] == [8, 9]
 
 
 def test_ids_are_version_5_uuids_of_their_names(spark):
@@ -84,6 +99,6 @@ def test_chunks_have_headers_places_and_ids(spark, make_pages):
     assert unknown["header"].startswith("my file")
 
 
-def test_the_version_follows_the_settings():
-    a, b = chunking.chunker_version({"max": 1}, "x-1"), chunking.chunker_version({"max": 2}, "x-1")
-    assert a != b and a.startswith("chunker-1:") and a.endswith(":x-1")
+def test_the_version_follows_the_settings(spark):
+    versions = [spark.range(1).select(chunking.chunker_version(x, F.lit("x-1"))).first()[0] for x in ({"max": 1, "a": 2}, {"a": 2, "max": 1}, {"max": 2, "a": 2})]
+    assert versions[0] == versions[1] != versions[2] and versions[0].startswith("chunker-1:") and versions[0].endswith(":x-1")

@@ -4,9 +4,9 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 
-from quire.operators.embedding import EmbeddingError, HashEmbedder, HttpEmbedder, make_embedder
+from quire.operators.embedding import EmbeddingError, HashEmbedder, HttpEmbedder, embedder_for
 from quire.plans.engine import Engine, StoreError
-from quire.plans.settings import Chunking, ConfigError, find_project_root, load_settings, make
+from quire.plans.settings import Chunking, ConfigError, settings_folder, load_settings, make
 from quire.sources import files as FS
 from quire.sources.loaders import HtmlLoader, Registry, TextLoader, default_registry, load_pages
 from quire.sources.snapshots import SnapshotTable
@@ -81,9 +81,10 @@ def test_ingest_search_and_rerun(spark, project, tmp_path):
 
 def test_settings_are_strict(tmp_path):
     base = CONFIG | {"sources": {"s": {"root": "r"}}, "data_dir": "d"}
-    for wrong in ({"colour": 1}, {"chunking": {"max_word": 1}}, {"chunking": {"max_words": 10, "target_words": 20}}, {"subjects": {"Bad Slug": {"name": "n", "taken_in": "x"}}}, {"user": {"id": "x"}}, {"cleaning": {"min_share": 0}}, {"sources": {"s": 3}}):
+    for wrong in ({"colour": 1}, {"chunking": {"max_word": 1}}, {"chunking": {"max_words": 10, "target_words": 20}}, {"subjects": {"Bad Slug": {"name": "n", "taken_in": "x"}}}, {"user": {"id": "x"}}, {"cleaning": {"min_share": 0}}, {"cleaning": {"min_pages": 1}}, {"sources": {"s": 3}}, {"user": {"id": "No Slug", "university": "U", "degree": "D"}}, {"subjects": {"nets": {"name": "n", "taken_in": "2024-27"}}}, {"subjects": {"nets": {"name": "n", "taken_in": "24-25"}}}):
         with pytest.raises(ConfigError):
             make(base | wrong)
+    assert make(base | {"chunking": {"min_words": 0}}).chunking.min_words == 0
     settings = make(base | {"embedder_url": "http://u:p@h"}, "/root")
     assert settings.data_dir == "/root/d" and settings.described()["embedder_url"] == "(set)"
     with pytest.raises(ConfigError):
@@ -93,16 +94,17 @@ def test_settings_are_strict(tmp_path):
 
 
 def test_environment_goes_first(tmp_path):
-    (tmp_path / "quire.yaml").write_text(json.dumps(CONFIG | {"sources": {}, "data_dir": "file"}))
+    (tmp_path / "quire.yaml").write_text(json.dumps(CONFIG | {"sources": {"notes": {"root": "here"}}, "data_dir": "file"}))
     inner = tmp_path / "a/b"
     inner.mkdir(parents=True)
-    assert find_project_root(inner) == tmp_path
+    assert settings_folder(inner) == tmp_path
     with pytest.raises(ConfigError):
-        find_project_root(tmp_path, "other.yaml")
+        settings_folder(tmp_path, "other.yaml")
     assert load_settings(tmp_path, {}).data_dir.endswith("file")
     (tmp_path / ".env").write_text("QUIRE_DATA_DIR='dotted'\n")
     assert load_settings(tmp_path, {}).data_dir.endswith("dotted") and load_settings(tmp_path, {"QUIRE_DATA_DIR": ""}).data_dir.endswith("dotted")
     assert load_settings(tmp_path, {"QUIRE_DATA_DIR": "set"}).data_dir.endswith("set")
+    assert load_settings(tmp_path, {}).source("notes").root.endswith("here") and load_settings(tmp_path, {"QUIRE_SOURCE_NOTES": "/there"}).source("notes").root == "/there"
 
 
 def test_scan_finds_either_case_and_hides(spark, tmp_path):
@@ -175,7 +177,7 @@ def test_http_embedder(spark, service):
         HttpEmbedder("http://127.0.0.1:9", "m", 2, timeout=2).ask(["a"])
     for bad in (("http", None), ("other", "u")):
         with pytest.raises(EmbeddingError):
-            make_embedder(bad[0], "m", 2, url=bad[1])
+            embedder_for(bad[0], "m", 2, url=bad[1])
 
 
 def test_folder_stream_sees_each_content_once(spark, tmp_path):

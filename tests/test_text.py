@@ -35,10 +35,6 @@ def test_letters_and_snippet(spark):
     assert column(spark, ["a \n b" * 100], T.snippet)[0] == ("a b" * 100)[:120]
 
 
-def test_escaped_like():
-    assert T.escape_like("50%_a\\") == "50\\%\\_a\\\\"
-
-
 def test_years_in_names(spark):
     cases = {"exam_2023-24.pdf": "2023-24", "exam 2023_2024": "2023-24", "2023-25.pdf": None, "IS2425-p": "2024-25", "x9900": None, "a2526b2324": "2025-26", "12345678": None, "2023-25 2526": "2025-26", "no": None}
     assert column(spark, list(cases), M.year_from_filename) == list(cases.values())
