@@ -470,7 +470,7 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 def search_corpus(spark: SparkSession, d: str) -> DataFrame:
     """Ingest and search: pages cleaned, cut, embedded with their headers, and asked one question."""
     embedder = HashEmbedder()
-    rows = chunks(spark, d).withColumn("_text", embedding_text(F.col("header"), F.col("text")))
+    rows = chunks(spark, d).where("language = 'en'").withColumn("_text", embedding_text(F.col("header"), F.col("text")))
     points = embedder.transform(rows, "_text").drop("_text")
-    hits = vectors.search(points, embedder.embed(spark, ["the binary semaphore blocks the shared bus"])[0], F.col("language") == "en")
+    hits = vectors.search(points, embedder.embed(spark, ["the binary semaphore blocks the shared bus"])[0])
     return hits.select("chunk_id", *KEY, "page", "part", F.round("score", 6).alias("score"), T.snippet(F.col("text")).alias("snippet"))

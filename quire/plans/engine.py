@@ -1,12 +1,13 @@
 """The engine: register, extract, chunk, index, and search, each stage re-runnable alone.
 
-Stage results are tables kept as snapshots in the data directory; a stage works only on the
-documents that are not up to date. Everything is scoped to one user.
+Stage results are tables in the data directory, kept in buckets of documents; a stage reads, makes and
+writes only what belongs to the documents that are not up to date. Everything is scoped to one user.
 """
 
 from __future__ import annotations
 
 from dataclasses import asdict
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,6 +19,7 @@ from quire.operators import chunking, cleaning, extracting, manifest as MF, regi
 from quire.operators.embedding import Embedder, embedder_for, embedding_text
 from quire.plans.settings import ConfigError, Settings
 from quire.sources import files as FS
+from quire.sources.buckets import BucketTable
 from quire.sources.loaders import Registry, default_registry, extractor_version, load_pages
 from quire.sources.snapshots import SnapshotTable
 
@@ -31,16 +33,16 @@ class StoreError(RuntimeError):
 class Engine:
     def __init__(self, spark: SparkSession, settings: Settings, registry: Registry | None = None, embedder: Embedder | None = None, language_model: TrigramModel | None = None):
         self.spark, self.settings = spark, settings
-        self.registry = registry or default_registry()
+        self.registry = registry or default_registry(settings.extraction.thumbnail_width)
         e = settings.embedding
         self.embedder = embedder or embedder_for(e.provider, e.model, e.dimension, e.batch_size, settings.embedder_url)
         self.language_model = language_model
-        table = lambda name, schema, by=(): SnapshotTable(spark, f"{settings.data_dir}/{name}", schema, by)
+        table = lambda name, schema: BucketTable(spark, f"{settings.data_dir}/{name}", schema, buckets=settings.buckets)
         self.manifest, self.stages = table("manifest", S.MANIFEST), table("stages", S.STAGES)
-        self.pages, self.extracted = table("pages", S.PAGES), table("extracted", S.EXTRACTED)
+        self.pages, self.extracted, self.thumbnails = table("pages", S.PAGES), table("extracted", S.EXTRACTED), table("thumbnails", S.THUMBNAILS)
         self.chunks, self.removed, self.chunked = table("chunks", S.CHUNKS), table("removed_lines", S.REMOVED_LINES), table("chunked", S.CHUNKED)
-        self.points = table("points", S.POINTS, ("user_id",))
-        self.collection = table("collection", "embedding_model string, dimension int")
+        self.points = table("points", S.POINTS)
+        self.collection = SnapshotTable(spark, f"{settings.data_dir}/collection", "embedding_model string, dimension int")
 
     # stage 1
 
@@ -52,7 +54,7 @@ class Engine:
         known = self.spark.createDataFrame(rows, "subject_dir string, known string, taken_in string, professor string")
         subject, kind, name = M.folder_hint(F.col("rel_path"))
         hinted = found.withColumn("subject_dir", subject).withColumn("doc_type", kind).withColumn("file", name)
-        joined = hinted.join(F.broadcast(known), "subject_dir", "left")
+        joined = hinted.join(known, "subject_dir", "left")
         label = F.struct(F.lit(user.university).alias("university"), F.lit(user.degree).alias("degree"), F.col("known").alias("subject"), "doc_type", "taken_in", M.year_from_filename(F.col("file")).alias("academic_year"), "professor")
         return joined.select(*found.columns, F.when(F.col("known").isNotNull(), label).alias("metadata"), M.label_error(F.col("subject_dir"), F.col("known"), F.col("doc_type"), source.labelled).alias("error"))
 
@@ -70,7 +72,9 @@ class Engine:
             # files of other sources only say what is still there
             statuses = registering.register(everywhere, old).where(F.col("source") == one.name)
             statuses = cut(statuses)
-            self.manifest.replace(registering.apply_statuses(old, files, statuses, F.date_trunc("second", F.current_timestamp())))
+            changed = statuses.where("status in ('new', 'moved')").select(*KEY).distinct()
+            rows = registering.apply_statuses(old, files, statuses, F.date_trunc("second", F.current_timestamp())).join(changed, KEY, "left_semi")
+            self.manifest.replace_documents(cut(rows), changed)
             reports = statuses if reports is None else reports.unionByName(statuses)
         return reports
 
@@ -80,6 +84,12 @@ class Engine:
         """Stage rows of (user_id, doc_id, version, output)."""
         return documents.select(*KEY, F.lit(stage).alias("stage"), "version", "output", F.date_trunc("second", F.current_timestamp()).alias("completed_at"))
 
+    def _mark(self, done: DataFrame) -> None:
+        """Upsert of stage rows; only the log of the documents that are done is read."""
+        done = cut(done)
+        own = self.stages.read().join(done.select(*KEY), KEY, "left_semi")
+        self.stages.replace_documents(cut(MF.mark_done(own, done)), done)
+
     def _to_do(self, documents: DataFrame, stage: str, outputs: DataFrame, force: bool) -> DataFrame:
         gate = MF.stage_gate(documents, self.stages.read(), stage, F.col("wanted"), outputs)
         return cut(documents.join(gate if force else gate.where("status = 'to_do'"), KEY).drop("status"))
@@ -89,22 +99,24 @@ class Engine:
         x = self.settings.extraction
         documents = self.manifest.read().withColumn("wanted", extractor_version(self.registry, F.col("rel_path"))).where("wanted is not null")
         due = self._to_do(documents, "extract", self.extracted.read(), force)
-        contents = None
-        for one in self.settings.sources.values():
-            files = FS.scan(self.spark, one.root, self.registry.extensions).select(F.lit(one.name).alias("source"), "rel_path", "content")
-            contents = files if contents is None else contents.unionByName(files)
-        loaded = cut(load_pages(due.join(contents, ["source", "rel_path"]), self.registry, [*KEY, "source", "rel_path"]))
+        # names and places of all files, bytes only of those that are due
+        places = reduce(DataFrame.unionByName, [FS.scan(self.spark, one.root, self.registry.extensions, content=False).select(F.lit(one.name).alias("source"), "rel_path", "path") for one in self.settings.sources.values()])
+        loaded = cut(load_pages(due.join(places, ["source", "rel_path"]).repartition(*KEY), self.registry, [*KEY, "source", "rel_path"]))
         failed = loaded.where("error is not null").select(*KEY, "rel_path", "error").dropDuplicates(KEY)
         good = loaded.join(failed.select(*KEY), KEY, "left_anti")
         text = T.normalise_text(F.col("text"))
-        pages = good.withColumn("text", text)
+        spans = good.where(F.size("spans") > 0).select(*KEY, "number", F.inline("spans"))
+        titles = extracting.guess_titles(spans, [*KEY, "number"]).withColumnRenamed("title", "guessed")
+        pages = good.join(titles, [*KEY, "number"], "left").withColumn("title", F.coalesce("title", "guessed")).withColumn("text", text)
+        picture = F.when(F.col("thumbnail").isNotNull(), F.format_string("thumbnails/%s/%s/%d", "user_id", "doc_id", "number"))
         language = F.lit(None).cast("string") if self.language_model is None else self.language_model.column(F.col("text"), x.language_min_chars, x.language_min_confidence)
-        pages = cut(pages.select(*KEY, "number", F.bround("width", 1).alias("width"), F.bround("height", 1).alias("height"), "title", "text", F.length("text").alias("char_count"), language.alias("language"), "image_count", (F.length("text") < x.image_page_max_chars).alias("mostly_image"), F.lit(None).cast("string").alias("thumbnail")))
+        pages = cut(pages.select(*KEY, "number", F.bround("width", 1).alias("width"), F.bround("height", 1).alias("height"), "title", "text", F.length("text").alias("char_count"), language.alias("language"), "image_count", (F.length("text") < x.image_page_max_chars).alias("mostly_image"), picture.alias("thumbnail")))
         heads = good.groupBy(*KEY, "source", "rel_path").agg(F.max("extractor").alias("extractor"))
         extracted = heads.join(extracting.document_languages(pages), KEY, "left").withColumn("languages", F.coalesce("languages", F.array().cast("array<string>")))
-        self.pages.replace(vectors.replace_documents(self.pages.read(), pages, heads))
-        self.extracted.replace(vectors.replace_documents(self.extracted.read(), extracted.select(self.extracted.read().columns), heads))
-        self.stages.replace(MF.mark_done(self.stages.read(), self._done(heads.select(*KEY, F.col("extractor").alias("version"), F.concat_ws("/", F.lit("pages"), "user_id", "doc_id").alias("output")), "extract")))
+        self.pages.replace_documents(pages, heads)
+        self.thumbnails.replace_documents(good.where("thumbnail is not null").select(*KEY, "number", F.col("thumbnail").alias("png")), heads)
+        self.extracted.replace_documents(extracted, heads)
+        self._mark(self._done(heads.select(*KEY, F.col("extractor").alias("version"), F.concat_ws("/", F.lit("pages"), "user_id", "doc_id").alias("output")), "extract"))
         return heads.select("rel_path", F.lit("extracted").alias("status"), F.lit(None).cast("string").alias("detail")).unionByName(failed.select("rel_path", F.lit("error").alias("status"), F.col("error").alias("detail")))
 
     # stages 3 and 4
@@ -119,11 +131,11 @@ class Engine:
         limits = asdict(c)
         clean = cleaning.cleaned_pages(pages, **limits, columns=("title", "language"))
         subjects = self.spark.createDataFrame([(k, s.name) for k, s in self.settings.subjects.items()], "subject string, name string")
-        chunks = cut(chunking.make_chunks(clean, due.withColumn("subject", F.col("metadata.subject")), F.broadcast(subjects), h.max_words, h.target_words, h.min_words))
-        self.chunks.replace(vectors.replace_documents(self.chunks.read(), chunks, due))
-        self.removed.replace(vectors.replace_documents(self.removed.read(), cleaning.removed_lines(pages, **limits), due))
-        self.chunked.replace(vectors.replace_documents(self.chunked.read(), due.select(*KEY, "source", "rel_path", F.col("wanted").alias("chunker")), due))
-        self.stages.replace(MF.mark_done(self.stages.read(), self._done(due.select(*KEY, F.col("wanted").alias("version"), F.concat_ws("/", F.lit("chunks"), "user_id", "doc_id").alias("output")), "chunk")))
+        chunks = cut(chunking.make_chunks(clean, due.withColumn("subject", F.col("metadata.subject")), subjects, h.max_words, h.target_words, h.min_words))
+        self.chunks.replace_documents(chunks, due)
+        self.removed.replace_documents(cleaning.removed_lines(pages, **limits), due)
+        self.chunked.replace_documents(due.select(*KEY, "source", "rel_path", F.col("wanted").alias("chunker")), due)
+        self._mark(self._done(due.select(*KEY, F.col("wanted").alias("version"), F.concat_ws("/", F.lit("chunks"), "user_id", "doc_id").alias("output")), "chunk"))
         counts = chunks.groupBy(*KEY).agg(F.count("*").alias("n"))
         return due.join(counts, KEY, "left").select("rel_path", F.lit("chunked").alias("status"), F.concat(F.coalesce("n", F.lit(0)).cast("string"), F.lit(" chunks")).alias("detail"))
 
@@ -148,10 +160,10 @@ class Engine:
         due = self._to_do(documents, "index", whole, force)
         rows = chunks.join(due.select(*KEY, "source", "rel_path", "metadata"), KEY).withColumn("_text", embedding_text(F.col("header"), F.col("text")))
         new = cut(self.embedder.transform(rows, "_text").drop("_text", "word_count"))
-        self.points.replace(vectors.replace_documents(points, new.select(points.columns), due))
+        self.points.replace_documents(new, due)
         counts = count(new, "n")
         done = due.join(counts, KEY, "left").select(*KEY, "rel_path", F.col("wanted").alias("version"), F.concat(F.coalesce("n", F.lit(0)).cast("string"), F.lit(" points")).alias("output"))
-        self.stages.replace(MF.mark_done(self.stages.read(), self._done(done, "index")))
+        self._mark(self._done(done, "index"))
         return done.select("rel_path", F.lit("indexed").alias("status"), F.col("output").alias("detail"))
 
     def ingest(self, force: bool = False) -> dict[str, DataFrame]:
@@ -165,11 +177,11 @@ class Engine:
             raise ConfigError(f"unknown subject {subject!r} (known: {', '.join(sorted(self.settings.subjects))})")
         self.check_model()
         user = user_id or self.settings.user.id
-        where = vectors.tenant(user) & vectors.all_of([F.col(f"metadata.{n}") == v for n, v in (("subject", subject), ("doc_type", doc_type)) if v is not None])
-        points = self.points.read().where(F.col("user_id") == user)
-        labels = self.manifest.read().where(F.col("user_id") == user).select(*KEY, F.col("metadata").alias("label"))
-        current = points.join(labels, KEY).withColumn("metadata", F.col("label")).drop("label")
-        hits = vectors.search(current, self.embedder.embed(self.spark, [question])[0], where, k)
+        # the documents are chosen by their current labels, then their points are ranked
+        asked = vectors.all_of([F.col(f"metadata.{n}") == v for n, v in (("subject", subject), ("doc_type", doc_type)) if v is not None])
+        labels = self.manifest.read().where(vectors.tenant(user) & asked).select(*KEY, F.col("metadata").alias("label"))
+        points = self.points.read().where(vectors.tenant(user)).join(labels, KEY).withColumn("metadata", F.col("label")).drop("label")
+        hits = vectors.search(points, self.embedder.embed(self.spark, [question])[0], None, k)
         return hits.select("chunk_id", "score", "source", "rel_path", "page", "part", "header", T.snippet(F.col("text")).alias("snippet"), "metadata")
 
     def inspect(self, query: str, page: int | None = None, chunks: bool = False) -> DataFrame:

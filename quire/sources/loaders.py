@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import html
+import posixpath
 import re
 from collections.abc import Iterable, Iterator
 from typing import Protocol
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, functions as F
 
 Page = dict[str, object]
@@ -54,9 +56,16 @@ class HtmlLoader:
 
 
 class PdfLoader:
-    """PDF, where a PDF library is installed; a document under a password is an error."""
+    """PDF, where a PDF library is installed; a document under a password is an error.
 
-    name, version, extensions = "pdf", 1, (".pdf",)
+    Besides its text a page gives its spans in reading order, with their size and the place where they are seen
+    (rotation applied), from which the engine guesses the title, and a small picture.
+    """
+
+    name, version, extensions = "pdf", 2, (".pdf",)
+
+    def __init__(self, thumbnail_width: int = 320):
+        self.thumbnail_width = thumbnail_width
 
     def load(self, content: bytes) -> list[Page]:
         try:
@@ -68,7 +77,17 @@ class PdfLoader:
             if document.needs_pass:
                 raise ValueError("the file is protected by a password")
             for page in document:
-                pages.append({"number": page.number + 1, "width": round(page.rect.width, 1), "height": round(page.rect.height, 1), "text": page.get_text(sort=True), "title": None, "image_count": len(page.get_images())})
+                box = page.rect
+                lines = [line for block in page.get_text("dict", sort=True)["blocks"] for line in block.get("lines", ())]
+                seen = [(s["text"], float(s["size"]), float((pymupdf.Rect(s["bbox"]) * page.rotation_matrix).y0)) for line in lines for s in line["spans"]]
+                scale = self.thumbnail_width / box.width if box.width else 1.0
+                picture = page.get_pixmap(matrix=pymupdf.Matrix(scale, scale), alpha=False).tobytes("png")
+                pages.append(
+                    {
+                        "number": page.number + 1, "width": round(box.width, 1), "height": round(box.height, 1), "text": page.get_text("text", sort=True), "title": None, "image_count": len(page.get_images()),
+                        "spans": [{"ord": k, "text": t, "size": size, "top": top, "page_height": float(box.height)} for k, (t, size, top) in enumerate(seen)], "thumbnail": picture,
+                    }
+                )
         return pages
 
 
@@ -99,38 +118,53 @@ class Registry:
         return f"{loader.name}-{loader.version}" if loader else None
 
 
-def default_registry() -> Registry:
-    return Registry(TextLoader(), HtmlLoader(), PdfLoader())
+def default_registry(thumbnail_width: int = 320) -> Registry:
+    return Registry(TextLoader(), HtmlLoader(), PdfLoader(thumbnail_width))
+
+
+SPAN = "struct<ord:int,text:string,size:double,top:double,page_height:double>"
+PAGE = [
+    ("number", "int", pa.int32()), ("width", "double", pa.float64()), ("height", "double", pa.float64()), ("text", "string", pa.string()), ("title", "string", pa.string()), ("image_count", "int", pa.int32()),
+    ("spans", f"array<{SPAN}>", pa.list_(pa.struct([("ord", pa.int32()), ("text", pa.string()), ("size", pa.float64()), ("top", pa.float64()), ("page_height", pa.float64())]))), ("thumbnail", "binary", pa.binary()),
+]
+
+
+def read_bytes(path: str) -> bytes:
+    """A file's bytes where a worker reads them; ``path`` is a URI or a local path."""
+    scheme, rest = path.split(":", 1) if ":" in path else ("file", path)
+    uri = "file://" + posixpath.join("/", rest.lstrip("/")) if scheme == "file" else path
+    fs, inner = (pyarrow.fs.LocalFileSystem(), uri[7:]) if scheme == "file" else pyarrow.fs.FileSystem.from_uri(uri)
+    with fs.open_input_stream(inner) as stream:
+        return stream.read()
 
 
 def load_pages(files: DataFrame, registry: Registry, keys: list[str]) -> DataFrame:
-    """(keys, extractor, number, width, height, text, title, image_count, error): the pages of files with ``rel_path`` and ``content``.
+    """(keys, extractor, the columns of ``PAGE``, error): the pages of files with ``rel_path`` and ``content``, or ``path`` to read it from.
 
-    A file that fails gives one row with its error and no page, so that it never stops the others.
+    Only the bytes of the files that are given are read, each in the worker that loads it. A file that
+    fails gives one row with its error and no page, so that it never stops the others.
     """
+    origin = "content" if "content" in files.columns else "path"
     kinds = ", ".join(f"{k} {files.schema[k].dataType.simpleString()}" for k in keys)
-    names = ["number", "width", "height", "text", "title", "image_count"]
-    schema = f"{kinds}, extractor string, number int, width double, height double, text string, title string, image_count int, error string"
+    schema = f"{kinds}, extractor string, " + ", ".join(f"{n} {k}" for n, k, _ in PAGE) + ", error string"
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target = None
         for batch in batches:
+            target = pa.schema([*[batch.schema.field(key) for key in keys], ("extractor", pa.string()), *[(n, a) for n, _, a in PAGE], ("error", pa.string())])
             for k in range(batch.num_rows):
-                path, content = batch.column("rel_path")[k].as_py(), batch.column("content")[k].as_py()
+                path = batch.column("rel_path")[k].as_py()
                 own = {key: batch.column(key)[k].as_py() for key in keys} | {"extractor": registry.version(path)}
                 try:
                     loader = registry.find(path)
                     if loader is None:
                         raise ValueError("no loader for this extension")
-                    rows = [own | {n: page.get(n) for n in names} | {"error": None} for page in loader.load(content)]
+                    value = batch.column(origin)[k].as_py()
+                    rows = [own | {n: page.get(n) for n, *_ in PAGE} | {"error": None} for page in loader.load(value if origin == "content" else read_bytes(value))]
                 except Exception as e:  # noqa: BLE001
-                    rows = [own | dict.fromkeys(names) | {"error": f"{type(e).__name__}: {e}"}]
-                if target is None:
-                    fields = [batch.schema.field(key) for key in keys]
-                    target = pa.schema([*fields, ("extractor", pa.string()), ("number", pa.int32()), ("width", pa.float64()), ("height", pa.float64()), ("text", pa.string()), ("title", pa.string()), ("image_count", pa.int32()), ("error", pa.string())])
+                    rows = [own | {n: None for n, *_ in PAGE} | {"error": f"{type(e).__name__}: {e}"}]
                 yield from pa.Table.from_pylist(rows, target).to_batches()
 
-    return files.select(*dict.fromkeys([*keys, "rel_path", "content"])).mapInArrow(work, schema)
+    return files.select(*dict.fromkeys([*keys, "rel_path", origin])).mapInArrow(work, schema)
 
 
 def extractor_version(registry: Registry, rel_path):

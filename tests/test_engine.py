@@ -8,7 +8,8 @@ from quire.operators.embedding import EmbeddingError, HashEmbedder, HttpEmbedder
 from quire.plans.engine import Engine, StoreError
 from quire.plans.settings import Chunking, ConfigError, settings_folder, load_settings, make
 from quire.sources import files as FS
-from quire.sources.loaders import HtmlLoader, Registry, TextLoader, default_registry, load_pages
+from quire.sources.buckets import BucketTable
+from quire.sources.loaders import HtmlLoader, PdfLoader, Registry, TextLoader, default_registry, load_pages
 from quire.sources.snapshots import SnapshotTable
 from quire.streaming import folder
 
@@ -66,7 +67,7 @@ def test_ingest_search_and_rerun(spark, project, tmp_path):
     assert ("nets/exams/exam.txt", "moved") in statuses(engine.register("labelled"))
     assert engine.search("integrals measure areas", subject="nets", k=1).first()["metadata"]["subject"] == "nets"
     # a lost output is made again, and forced runs give the same points
-    engine.points.replace(engine.points.read().where("page = 1"))
+    engine.points.replace(spark.createDataFrame(engine.points.read().where("page = 1").collect(), engine.points.schema))
     assert engine.index().count() == 1 and engine.count("me") == 4
     assert engine.index(force=True).count() == 3 and engine.count("me") == 4
     # other settings cut again
@@ -128,6 +129,100 @@ def test_loaders(spark):
     assert [(r["k"], r["number"]) for r in rows if r["error"] is None] == [("k", 1), ("k", 2)] and {r["k"] for r in rows if r["error"]} == {"l", "m"}
 
 
+def test_titles_and_pictures_come_from_spans(spark, tmp_path):
+    span = lambda k, text, size, top: {"ord": k, "text": text, "size": size, "top": top, "page_height": 800.0}
+
+    class SpanLoader(TextLoader):
+        name = "spans"
+
+        def load(self, content):
+            return [{"number": 1, "width": 600.04, "height": 800.0, "text": "Big title\nbody", "title": None, "image_count": 2, "spans": [span(0, "Big title", 20.0, 10.0), span(1, "body text that is longer", 10.0, 300.0)], "thumbnail": b"png"}]
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("x")
+    engine = Engine(spark, make(CONFIG | {"sources": {"in": {"root": "in"}}, "data_dir": "data", "buckets": 8}, str(tmp_path)), Registry(SpanLoader()))
+    engine.register()
+    assert statuses(engine.extract()) == [("a.txt", "extracted")]
+    row = engine.pages.read().first()
+    assert (row["title"], row["width"], row["image_count"]) == ("Big title", 600.0, 2) and row["thumbnail"].startswith("thumbnails/me/") and engine.thumbnails.read().first()["png"] == b"png"
+
+
+def test_pdf_pages_through_a_stand_in_library(monkeypatch):
+    """What the loader asks of the library: the rotation is applied to places, pages keep their number and pictures."""
+    import types
+
+    class Rect:
+        def __init__(self, box):
+            self.width, self.height, self.y0 = box[2] - box[0], box[3] - box[1], box[1]
+
+        def __mul__(self, turned):
+            return types.SimpleNamespace(y0=self.y0 + turned)
+
+    class Page:
+        number, rect, rotation_matrix = 0, Rect((0, 0, 612.04, 792)), 5
+
+        def get_text(self, kind, sort):
+            return "text" if kind == "text" else {"blocks": [{"lines": [{"spans": [{"text": "T", "size": 12, "bbox": (0, 7, 1, 9)}]}]}, {"image": 1}]}
+
+        def get_images(self):
+            return [1]
+
+        def get_pixmap(self, matrix, alpha):
+            return types.SimpleNamespace(tobytes=lambda kind: f"{kind} {matrix:.3f}".encode())
+
+    class Document(list):
+        needs_pass = False
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *a):
+            pass
+
+    document = Document([Page()])
+    monkeypatch.setitem(__import__("sys").modules, "pymupdf", types.SimpleNamespace(open=lambda stream, filetype: document, Rect=Rect, Matrix=lambda x, y: x))
+    page = PdfLoader(306).load(b"")[0]
+    assert (page["number"], page["width"], page["text"], page["image_count"], page["thumbnail"]) == (1, 612.0, "text", 1, b"png 0.500")
+    assert page["spans"] == [{"ord": 0, "text": "T", "size": 12.0, "top": 12.0, "page_height": 792.0}]
+    Document.needs_pass = True
+    with pytest.raises(ValueError):
+        PdfLoader().load(b"")
+
+
+def test_one_changed_document_touches_one_bucket(spark, tmp_path):
+    table = BucketTable(spark, str(tmp_path / "t"), "user_id string, doc_id string, v string", buckets=64)
+    rows = spark.range(2000).selectExpr("'u' user_id", "concat('d', id) doc_id", "repeat(cast(id as string), 20) v")
+    assert len(table.replace_documents(rows, rows)) == 64 and table.read().count() == 2000
+    size = lambda v: sum(f.stat().st_size for f in (tmp_path / f"t/v={v}").rglob("*.parquet"))
+    new = spark.createDataFrame([("u", "d7", "new"), ("u", "d7", "two")], table.schema)
+    assert len(table.replace_documents(new, new)) == 1 and size(2) * 30 < size(1)
+    assert sorted(r["v"] for r in table.read().where("doc_id = 'd7'").collect()) == ["new", "two"] and table.read().count() == 2001
+    # touched documents without new rows go; null keys and failed runs
+    table.replace_documents(new.limit(0), new)
+    table.replace_documents(spark.createDataFrame([(None, None, "n")], table.schema), new.limit(0))
+    assert table.read().count() == 2000 and table.replace_documents(new.limit(0), new.limit(0)) == []
+    before = table.state()
+    with pytest.raises(Exception):
+        table.replace_documents(new.selectExpr("user_id", "doc_id", "raise_error('lost') v"), new)
+    assert table.state() == before and table.read().count() == 2000
+    table.replace(new)
+    assert table.read().count() == 2
+
+
+def test_only_due_files_are_read(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / f"in/f{k}.txt").write_text(f"file number {k} with some words")
+    engine = Engine(spark, make(CONFIG | {"sources": {"in": {"root": "in"}}, "data_dir": "data", "buckets": 8}, str(tmp_path)))
+    engine.ingest()
+    (tmp_path / "in/f9.txt").write_text("a file that came later with words")
+    engine.register()
+    (tmp_path / "in/f0.txt").chmod(0)  # a root user reads it all the same, so its content is changed too
+    (tmp_path / "in/f0.txt").write_bytes(b"changed behind the back of the manifest")
+    assert statuses(engine.extract()) == [("f9.txt", "extracted")]
+    assert engine.pages.read().where("text like 'changed%'").count() == 0 and engine.pages.read().count() == 4
+
+
 def test_snapshots_swap_whole(spark, tmp_path):
     table = SnapshotTable(spark, str(tmp_path / "t"), "a int")
     assert table.read().count() == 0
