@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quire.functions.tables import all_of, latest_rows
 
@@ -26,6 +28,11 @@ def documents(manifest: DataFrame, user_id: str, source: str | None = None) -> D
     return (rows if source is None else rows.where(F.col("source") == source)).orderBy("source", "rel_path")
 
 
+def listed(manifest: DataFrame) -> DataFrame:
+    """Every user's documents in the order in which they are listed: ``place`` from 1, by source, path and id."""
+    return manifest.withColumn("place", F.row_number().over(W.partitionBy("user_id").orderBy("source", "rel_path", "doc_id")))
+
+
 def matches(query: str) -> Column:
     """Document id prefix or part of the path, letters of either case, wildcards taken literally."""
     wanted = F.lower(F.lit(query))
@@ -73,8 +80,8 @@ def prune(manifest: DataFrame, missing: DataFrame) -> DataFrame:
     return manifest.join(missing.select(*KEY).distinct(), KEY, "left_anti")
 
 
-def stage_gate(documents: DataFrame, stages: DataFrame, stage_name: str, version: Column, outputs: DataFrame | None = None) -> DataFrame:
-    """(user_id, doc_id, status): 'up_to_date' or 'to_do' for every document.
+def stage_gate(documents: DataFrame, stages: DataFrame, stage_name: str, version: Column, outputs: DataFrame | None = None, columns: Sequence[str] = ()) -> DataFrame:
+    """(user_id, doc_id[, columns], status): 'up_to_date' or 'to_do' for every document.
 
     Up to date: the stage's row has the ``version`` now in force (a column over the documents) and, where
     ``outputs`` (user_id, doc_id) is given, its output is still there. A lost output is made again.
@@ -85,7 +92,12 @@ def stage_gate(documents: DataFrame, stages: DataFrame, stage_name: str, version
     if outputs is not None:
         joined = joined.join(outputs.select(*KEY).distinct().withColumn("_there", F.lit(True)), KEY, "left")
         fresh = fresh & F.coalesce("_there", F.lit(False))
-    return joined.select(*KEY, F.when(fresh, "up_to_date").otherwise("to_do").alias("status"))
+    return joined.select(*KEY, *columns, F.when(fresh, "up_to_date").otherwise("to_do").alias("status"))
+
+
+def stage_totals(stages: DataFrame) -> DataFrame:
+    """(stage, version, n): how many documents each version of each stage has done."""
+    return stages.groupBy("stage", "version").agg(F.count("*").alias("n"))
 
 
 def subject_counts(manifest: DataFrame) -> DataFrame:

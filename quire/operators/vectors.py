@@ -168,6 +168,13 @@ def stale_points(points: DataFrame, new: DataFrame, keys: Sequence[str] = ("user
     return own.join(new.select(*keys, point), [*keys, point], "left_anti")
 
 
+def whole_documents(documents: DataFrame, chunks: DataFrame, points: DataFrame, keys: Sequence[str] = ("user_id", "doc_id")) -> DataFrame:
+    """The documents that have as many points as chunks; one that has neither is whole."""
+    count = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    both = documents.join(count(chunks, "_chunks"), list(keys), "left").join(count(points, "_points"), list(keys), "left")
+    return both.where(F.coalesce("_chunks", F.lit(0)) == F.coalesce("_points", F.lit(0))).drop("_chunks", "_points")
+
+
 def retrieval_quality(ranked: DataFrame, truth: DataFrame) -> DataFrame:
     """(n_queries, hit_at_k, mrr) of ``ranked`` (query_id, item, rank) against ``truth`` (query_id, item)."""
     good = ranked.join(truth.select("query_id", "item").distinct(), ["query_id", "item"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("best"))

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quire.functions import metadata as M, text as T
 from quire.functions.language import TrigramModel, trigram_counts
 from quire.functions.tables import table
-from quire.operators import chunking, cleaning, extracting, incremental, manifest as MF, registering, vectors
+from quire.operators import cells, chunking, cleaning, extracting, incremental, manifest as MF, registering, vectors
 from quire.operators.embedding import HashEmbedder, embedding_text
+from quire.sources.loaders import default_registry, extractor_version
 from quire.streaming.folder import event_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,6 +194,113 @@ def stage_gate(spark: SparkSession, d: str) -> DataFrame:
     return MF.stage_gate(MF.current(table(spark, d, "manifest")), MF.current_stages(table(spark, d, "stages")), "extract", F.lit("pymupdf-3"), table(spark, d, "extracted"))
 
 
+# the manifest read and changed
+
+
+@query(f"SELECT user_id, doc_id, source, rel_path, row_number() OVER (PARTITION BY user_id ORDER BY source, rel_path, doc_id) AS place FROM {MANIFEST_SQL}")
+def listed_documents(spark: SparkSession, d: str) -> DataFrame:
+    return MF.listed(MF.current(table(spark, d, "manifest"))).select(*KEY, "source", "rel_path", "place")
+
+
+def _first_document(spark: SparkSession, d: str) -> tuple[str, str]:
+    return tuple(MF.current(table(spark, d, "manifest")).agg(F.min(F.struct(*KEY)).alias("k")).select("k.*").first())
+
+
+FIRST_SQL = f"(SELECT user_id, doc_id FROM {MANIFEST_SQL} ORDER BY user_id, doc_id LIMIT 1)"
+
+
+@query(f"SELECT user_id, doc_id, source, rel_path FROM {MANIFEST_SQL} SEMI JOIN {FIRST_SQL} k USING (user_id, doc_id)")
+def document_by_key(spark: SparkSession, d: str) -> DataFrame:
+    return MF.get(MF.current(table(spark, d, "manifest")), *_first_document(spark, d)).select(*KEY, "source", "rel_path")
+
+
+@query(f"SELECT m.user_id, m.doc_id, m.source, m.rel_path FROM {MANIFEST_SQL} m WHERE (m.user_id, m.source) = (SELECT (user_id, min(source)) FROM {MANIFEST_SQL} GROUP BY user_id ORDER BY user_id LIMIT 1)")
+def documents_of_user(spark: SparkSession, d: str) -> DataFrame:
+    rows = MF.current(table(spark, d, "manifest"))
+    user = rows.agg(F.min("user_id")).first()[0]
+    source = rows.where(F.col("user_id") == user).agg(F.min("source")).first()[0]
+    return MF.documents(rows, user, source).select(*KEY, "source", "rel_path")
+
+
+STAGES_SQL = "(SELECT * FROM stages WHERE output IS NOT NULL AND completed_at IS NOT NULL AND user_id IS NOT NULL AND doc_id IS NOT NULL AND stage IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id, doc_id, stage ORDER BY completed_at DESC, version DESC, output DESC) = 1)"
+
+
+@query(f"SELECT user_id, doc_id, stage, version, output FROM {STAGES_SQL} SEMI JOIN {FIRST_SQL} k USING (user_id, doc_id) WHERE stage = 'chunk'")
+def stage_of_document(spark: SparkSession, d: str) -> DataFrame:
+    return MF.stage(MF.current_stages(table(spark, d, "stages")), *_first_document(spark, d), "chunk").select(*KEY, "stage", "version", "output")
+
+
+@query(f"""
+    WITH done AS (SELECT user_id, doc_id, 'extract' AS stage, 'text-9' AS version FROM {MANIFEST_SQL} WHERE regexp_matches(doc_id, '^[0-3]'))
+    SELECT user_id, doc_id, stage, version FROM {STAGES_SQL} ANTI JOIN done USING (user_id, doc_id, stage) UNION ALL SELECT * FROM done
+""")
+def stages_after_run(spark: SparkSession, d: str) -> DataFrame:
+    """The log after an extract run over the documents whose id begins with 0 to 3."""
+    keys = MF.current(table(spark, d, "manifest")).select(*KEY).where(F.col("doc_id").rlike("^[0-3]"))
+    done = keys.select(*KEY, F.lit("extract").alias("stage"), F.lit("text-9").alias("version"), F.lit("o").alias("output"), F.current_timestamp().alias("completed_at"))
+    return MF.mark_done(MF.current_stages(table(spark, d, "stages")), done).select(*KEY, "stage", "version")
+
+
+@query(f"SELECT stage, version, count(*) AS n FROM {STAGES_SQL} GROUP BY ALL")
+def stage_totals(spark: SparkSession, d: str) -> DataFrame:
+    return MF.stage_totals(MF.current_stages(table(spark, d, "stages")))
+
+
+@query(f"""
+    SELECT user_id, doc_id, CASE WHEN regexp_matches(doc_id, '^1') THEN 'moved/' || rel_path ELSE rel_path END AS rel_path,
+           CASE WHEN regexp_matches(doc_id, '^1') THEN epoch_us(TIMESTAMP '2026-01-01') ELSE epoch_us(updated_at) END AS updated_us FROM {MANIFEST_SQL}
+""")
+def moved_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest after the documents whose id begins with 1 have moved."""
+    rows = MF.current(table(spark, d, "manifest"))
+    moved = rows.where(F.col("doc_id").rlike("^1")).withColumn("rel_path", F.concat(F.lit("moved/"), "rel_path"))
+    return MF.update_location(rows, moved, F.to_timestamp(F.lit("2026-01-01"))).select(*KEY, "rel_path", F.unix_micros("updated_at").alias("updated_us"))
+
+
+@query(f"SELECT user_id, doc_id, source, rel_path FROM {MANIFEST_SQL}")
+def added_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest without the documents whose id begins with 0, after they are added to it."""
+    rows = MF.current(table(spark, d, "manifest"))
+    return MF.add(rows.where(~F.col("doc_id").rlike("^0")), rows.where(F.col("doc_id").rlike("^0"))).select(*KEY, "source", "rel_path")
+
+
+@query(REGISTER_SQL + "SELECT user_id, doc_id, old_source AS source, old_path AS rel_path FROM old WHERE NOT EXISTS (SELECT 1 FROM statuses s WHERE s.status = 'missing' AND s.user_id = old.user_id AND s.doc_id = old.doc_id)")
+def pruned_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return MF.prune(_older(spark, d), missing_documents(spark, d)).select(*KEY, "source", "rel_path")
+
+
+@query(r"""
+    SELECT DISTINCT rel_path, CASE WHEN e IN ('.txt', '.md') THEN 'text-1' WHEN e IN ('.html', '.htm') THEN 'html-1' WHEN e = '.pdf' THEN 'pdf-2' END AS version
+    FROM (SELECT rel_path, lower(regexp_extract(rel_path, '(\.[^./]*)$', 1)) AS e FROM manifest)
+""")
+def extractor_versions(spark: SparkSession, d: str) -> DataFrame:
+    paths = table(spark, d, "manifest").select("rel_path").distinct()
+    return paths.select("rel_path", extractor_version(default_registry(), F.col("rel_path")).alias("version"))
+
+
+@query(r"""
+    SELECT DISTINCT user_id, doc_id, metadata.subject AS subject, metadata.academic_year AS academic_year, regexp_matches(metadata.subject, '^[a-z0-9_]+$') AS is_slug,
+           CASE WHEN regexp_matches(metadata.academic_year, '^[0-9]{4}-[0-9]{2}$') THEN (metadata.academic_year[1:4]::INT + 1) % 100 = metadata.academic_year[6:7]::INT WHEN metadata.academic_year IS NOT NULL THEN false END AS is_year FROM manifest
+""")
+def label_checks(spark: SparkSession, d: str) -> DataFrame:
+    subject, year = F.col("metadata.subject"), F.col("metadata.academic_year")
+    return table(spark, d, "manifest").select(*KEY, subject.alias("subject"), year.alias("academic_year"), M.is_slug(subject).alias("is_slug"), M.is_academic_year(year).alias("is_year")).distinct()
+
+
+@query(f"""
+    WITH e AS (SELECT DISTINCT user_id, doc_id, extractor FROM extracted WHERE extractor IS NOT NULL), x AS (SELECT DISTINCT user_id, doc_id FROM chunked),
+    s AS (SELECT * FROM {STAGES_SQL} WHERE stage = 'chunk'), v AS (SELECT max(version) AS v FROM current_versions WHERE stage = 'chunk')
+    SELECT m.user_id, m.doc_id, e.extractor, CASE WHEN coalesce(s.version = v || ':' || e.extractor, false) AND x.doc_id IS NOT NULL THEN 'up_to_date' ELSE 'to_do' END AS status
+    FROM {MANIFEST_SQL} m JOIN e USING (user_id, doc_id) CROSS JOIN v LEFT JOIN s ON s.user_id = m.user_id AND s.doc_id = m.doc_id LEFT JOIN x ON x.user_id = m.user_id AND x.doc_id = m.doc_id
+""")
+def chunk_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Which extracted documents the chunk stage has to do: its version goes by that of the extractor."""
+    rule = table(spark, d, "current_versions").where("stage = 'chunk'").agg(F.max("version")).first()[0]
+    documents = MF.current(table(spark, d, "manifest")).select(*KEY).join(table(spark, d, "extracted").select(*KEY, "extractor").where("extractor is not null").distinct(), KEY)
+    gate = MF.stage_gate(documents, MF.current_stages(table(spark, d, "stages")), "chunk", F.concat(F.lit(rule), F.lit(":"), "extractor"), table(spark, d, "chunked"), ["extractor"])
+    return gate.select(*KEY, "extractor", "status")
+
+
 # extracting
 
 
@@ -220,7 +328,19 @@ def document_languages(spark: SparkSession, d: str) -> DataFrame:
     return extracting.document_languages(table(spark, d, "pages")).select(*KEY, F.array_join("languages", ",").alias("languages"))
 
 
-@query()
+@query(r"""
+    WITH d AS (SELECT lang AS label, ' ' || trim(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g')) || ' ' AS t FROM documents WHERE text IS NOT NULL AND lang IN ('ca', 'en', 'es', 'fr')),
+    c AS (SELECT label, gram, count(*) AS n FROM (SELECT label, unnest(list_transform(range(1, length(t) - 1), lambda i: t[i:i + 2])) AS gram FROM d) GROUP BY ALL),
+    top AS (SELECT gram FROM c GROUP BY gram ORDER BY sum(n) DESC, gram LIMIT 20000),
+    k AS (SELECT gram, label, coalesce(n, 0) + 0.5 AS n FROM top CROSS JOIN (SELECT unnest(['ca', 'en', 'es', 'fr']) AS label) LEFT JOIN c USING (gram, label)),
+    s AS (SELECT gram, label, ln(n / sum(n) OVER (PARTITION BY label)) AS score FROM k),
+    p AS (SELECT DISTINCT user_id, doc_id, number, text FROM pages),
+    f AS (SELECT user_id, doc_id, number, ' ' || trim(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g')) || ' ' AS t FROM p WHERE length(regexp_replace(text, '[^\p{L}]+', '', 'g')) >= 20),
+    g AS (SELECT user_id, doc_id, number, gram, count(*) AS n FROM (SELECT user_id, doc_id, number, unnest(list_transform(range(1, length(t) - 1), lambda i: t[i:i + 2])) AS gram FROM f) GROUP BY ALL),
+    t AS (SELECT user_id, doc_id, number, label, sum(n * score) AS total FROM g JOIN s USING (gram) GROUP BY ALL),
+    b AS (SELECT user_id, doc_id, number, arg_max(label, total) AS label, 1 / sum(exp(total - m)) AS confidence FROM (SELECT *, max(total) OVER (PARTITION BY user_id, doc_id, number) AS m FROM t) GROUP BY ALL)
+    SELECT user_id, doc_id, number, CASE WHEN confidence >= 0.8 THEN label END AS language FROM p LEFT JOIN b USING (user_id, doc_id, number)
+""")
 def detected_languages(spark: SparkSession, d: str) -> DataFrame:
     """Page languages by the trigram model, fitted on all labelled documents; null where unsure."""
     documents = table(spark, d, "documents")
@@ -332,13 +452,63 @@ def _subjects(spark: SparkSession, d: str) -> DataFrame:
     return known.select("subject", F.initcap(F.translate("subject", "_", " ")).alias("name"))
 
 
-@query()
+NAME_SQL = "array_to_string(list_transform(string_split(translate(subject, '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+PLACE = "user_id, doc_id, number"
+CHUNKS_SQL = LINES_SQL.replace("WITH p AS", "WITH RECURSIVE p AS", 1) + rf"""
+    , t AS (SELECT {PLACE}, string_agg(line, chr(10) ORDER BY i) FILTER (NOT is_boilerplate AND NOT is_number) AS text FROM judged GROUP BY ALL),
+    m AS (SELECT {PLACE}, max(title) AS title, max(language) AS language FROM pages GROUP BY ALL),
+    clean AS (SELECT {PLACE}, {STRIP(r"regexp_replace(t.text, '\n{3,}', chr(10) || chr(10), 'g')")} AS text FROM t),
+    c AS (SELECT {PLACE}, text, {WORDS("text")} AS n FROM clean WHERE {WORDS("text")} >= 5),
+    blocks AS (SELECT {PLACE}, unnest(a) AS block, generate_subscripts(a, 1) AS bi FROM (SELECT *, regexp_split_to_array(text, '\n{B}*\n') AS a FROM c WHERE n > 450)),
+    l0 AS (SELECT {PLACE}, bi, CASE WHEN {WORDS("block")} <= 450 THEN [block] ELSE regexp_split_to_array(block, '{LE}') END AS a FROM blocks),
+    l1 AS (SELECT {PLACE}, bi, unnest(a) AS line, generate_subscripts(a, 1) AS li FROM l0),
+    l3 AS (SELECT *, list_filter(regexp_split_to_array(line, '{B}+'), lambda w: w <> '') AS w FROM l1),
+    l4 AS (SELECT {PLACE}, bi, li, CASE WHEN len(w) <= 450 THEN [line] ELSE list_transform(range(0, len(w), 450), lambda i: array_to_string(w[i + 1:i + 450], ' ')) END AS a FROM l3),
+    units0 AS (SELECT {PLACE}, bi, li, unnest(a) AS x, generate_subscripts(a, 1) AS wi FROM l4),
+    units AS (SELECT {PLACE}, {STRIP("x")} AS text, {WORDS("x")} AS n, row_number() OVER (PARTITION BY {PLACE} ORDER BY bi, li, wi) AS i FROM units0 WHERE {WORDS("x")} > 0),
+    r AS (SELECT {PLACE}, i, n AS total, 0 AS bin FROM units WHERE i = 1
+          UNION ALL SELECT units.user_id, units.doc_id, units.number, units.i, CASE WHEN r.total < 350 AND r.total + units.n <= 450 THEN r.total + units.n ELSE units.n END, CASE WHEN r.total < 350 AND r.total + units.n <= 450 THEN r.bin ELSE r.bin + 1 END
+          FROM r JOIN units ON units.user_id = r.user_id AND units.doc_id = r.doc_id AND units.number = r.number AND units.i = r.i + 1),
+    sizes AS (SELECT {PLACE}, bin, sum(n) AS n FROM r JOIN units USING ({PLACE}, i) GROUP BY ALL),
+    e AS (SELECT *, max(bin) OVER (PARTITION BY {PLACE}) AS hi, lag(n) OVER (PARTITION BY {PLACE} ORDER BY bin) AS before FROM sizes),
+    rest AS (SELECT {PLACE}, bin, 1 AS back FROM e WHERE bin = hi AND hi > 0 AND n < 350 // 4 AND before + n <= 450),
+    parts AS (SELECT {PLACE}, bin - coalesce(back, 0) AS part, string_agg(text, chr(10) || chr(10) ORDER BY i) AS text FROM r JOIN units USING ({PLACE}, i) LEFT JOIN rest USING ({PLACE}, bin) GROUP BY ALL),
+    cut AS (SELECT {PLACE}, 0 AS part, text FROM c WHERE n <= 450 UNION ALL SELECT {PLACE}, part, text FROM parts),
+    o AS (SELECT cut.*, title, language, row_number() OVER (PARTITION BY user_id, doc_id ORDER BY number, part) - 1 AS chunk_index FROM cut JOIN m USING ({PLACE})),
+    h AS (SELECT o.*, rel_path, metadata.subject AS subject, sha1(unhex('{chunking.NAMESPACE.hex}') || encode(concat_ws('|', user_id, doc_id, chunk_index, text))) AS h FROM o JOIN {MANIFEST_SQL} USING (user_id, doc_id)),
+    k AS (SELECT DISTINCT subject, {NAME_SQL} AS name FROM documents WHERE subject IS NOT NULL),
+    made AS (SELECT user_id, doc_id, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], lower(hex(((('0x' || h[17:18])::INT & 63) | 128)::UTINYINT::BIGINT)) || h[19:20], h[21:32]) AS chunk_id, chunk_index, number AS page, part, title,
+             concat_ws(' · ', name, translate(regexp_replace(string_split(rel_path, '/')[-1], '(.)\.[^.]*$', '\1'), '_-', '  '), coalesce(nullif(title, ''), 'p. ' || number)) AS header, text, {WORDS("text")} AS word_count, language
+             FROM h LEFT JOIN k USING (subject))
+"""
+
+
+@query(CHUNKS_SQL + "SELECT * FROM made")
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """All pages cleaned and cut into chunks; packing carries state, so it is tested against a model in Python."""
+    """All pages cleaned and cut into chunks."""
     clean = cleaning.cleaned_pages(table(spark, d, "pages"), columns=("title", "language"))
     return chunking.make_chunks(clean, _documents_with_paths(spark, d), _subjects(spark, d))
 
 
+@query(CHUNKS_SQL + "SELECT user_id, doc_id, count(*) AS n_chunks, sum(word_count) AS n_words, max(part) AS most_parts FROM made GROUP BY ALL")
+def chunk_totals(spark: SparkSession, d: str) -> DataFrame:
+    return chunks(spark, d).groupBy(*KEY).agg(F.count("*").alias("n_chunks"), F.sum("word_count").alias("n_words"), F.max("part").alias("most_parts"))
+
+
+@query(f"SELECT DISTINCT chunk_id, {COLLAPSE('text')}[1:120] AS snippet FROM chunks")
+def snippets(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").select("chunk_id", T.snippet(F.col("text")).alias("snippet")).distinct()
+
+
+CHUNK_RULES = {"max_words": chunking.MAX_WORDS, "target_words": chunking.TARGET_WORDS, "min_words": chunking.MIN_WORDS}
+
+
+@query(f"SELECT DISTINCT extractor, 'chunker-{chunking.CHUNKER}:{chunking.settings_digest(CHUNK_RULES)}:' || extractor AS chunker FROM extracted WHERE extractor IS NOT NULL")
+def chunker_versions(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "extracted").select("extractor").where("extractor is not null").distinct()
+    return rows.select("extractor", chunking.chunker_version(CHUNK_RULES, F.col("extractor")).alias("chunker"))
+
+
 @query(f"""
     WITH h AS (SELECT DISTINCT user_id, doc_id, chunk_index, page, part, text, sha1(unhex('{chunking.NAMESPACE.hex}') || encode(concat_ws('|', user_id, doc_id, chunk_index, text))) AS h FROM chunks)
     SELECT user_id, doc_id, chunk_index, page, part, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], lower(hex(((('0x' || h[17:18])::INT & 63) | 128)::UTINYINT::BIGINT)) || h[19:20], h[21:32]) AS own_id FROM h
@@ -372,9 +542,18 @@ def word_buckets(spark: SparkSession, d: str) -> DataFrame:
     return vectors.word_buckets(table(spark, d, "documents"), "doc_id")
 
 
-@query()
+@query(r"""
+    WITH tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i]::BIGINT[] || [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) r(i))),
+    w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM documents),
+    b AS (SELECT w, list_transform(range(0, octet_length(encode(w))), lambda k: ('0x' || hex(encode(w))[2 * k + 1:2 * k + 2])::BIGINT) AS bytes FROM (SELECT DISTINCT w FROM w)),
+    k AS (SELECT w, xor(list_reduce([4294967295]::BIGINT[] || bytes, lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) % 64 AS place FROM b, tab)
+    SELECT doc_id, place::INT AS place, count(*) AS n FROM w JOIN k USING (w) GROUP BY ALL
+""")
 def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.hash_embedding(table(spark, d, "documents").select("doc_id", "text"))
+    """The vectors of all documents, their entries listed: the number of words in each place."""
+    rows = vectors.hash_embedding(table(spark, d, "documents").select("doc_id", "text"))
+    entries = rows.select("doc_id", F.posexplode("embedding").alias("place", "n"))
+    return entries.select("doc_id", "place", F.round("n").cast("bigint").alias("n")).where("n > 0")
 
 
 def _question(spark: SparkSession, d: str) -> list[float]:
@@ -460,6 +639,45 @@ def stale_points(spark: SparkSession, d: str) -> DataFrame:
     return vectors.stale_points(old, new)
 
 
+@query(POINTS_SQL + """
+    , c AS (SELECT user_id, doc_id, count(*) AS n FROM old GROUP BY ALL), p AS (SELECT user_id, doc_id, count(*) AS n FROM (SELECT * FROM new UNION ALL SELECT * FROM old WHERE regexp_matches(doc_id, '^[a-f]')) GROUP BY ALL)
+    SELECT m.user_id, m.doc_id FROM (SELECT DISTINCT user_id, doc_id FROM manifest WHERE user_id IS NOT NULL AND doc_id IS NOT NULL) m LEFT JOIN c USING (user_id, doc_id) LEFT JOIN p USING (user_id, doc_id) WHERE coalesce(c.n, 0) = coalesce(p.n, 0)
+""")
+def whole_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose stored points (here those of ids that begin with a letter, and new ones) are as many as their chunks, for the index gate."""
+    old, new = _points(spark, d)
+    return vectors.whole_documents(MF.current(table(spark, d, "manifest")).select(*KEY), old, new.unionByName(old.where(F.col("doc_id").rlike("^[a-f]"))))
+
+
+@query(f"""
+    WITH k AS (SELECT user_id, min(source) AS source FROM {MANIFEST_SQL} GROUP BY user_id ORDER BY user_id LIMIT 1)
+    SELECT DISTINCT c.user_id, c.doc_id, chunk_id, m.source, language FROM chunks c JOIN {MANIFEST_SQL} m ON m.user_id = c.user_id AND m.doc_id = c.doc_id JOIN k ON k.user_id = c.user_id AND k.source = m.source WHERE language = 'ca'
+""")
+def tenant_points(spark: SparkSession, d: str) -> DataFrame:
+    """One user's points of one source and language."""
+    rows = MF.current(table(spark, d, "manifest"))
+    user = rows.agg(F.min("user_id")).first()[0]
+    source = rows.where(F.col("user_id") == user).agg(F.min("source")).first()[0]
+    points = table(spark, d, "chunks").select(*KEY, "chunk_id", "language").distinct().join(rows.select(*KEY, "source"), KEY)
+    return points.where(vectors.tenant(user, source=source, language="ca", subject=None)).select(*KEY, "chunk_id", "source", "language")
+
+
+@query()
+def search_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The approximate index over all rows, asked by every row whose id is divisible by 50; recall is tested against ``search_all``."""
+    rows = table(spark, d, "embeddings")
+    centres = cells.fit(rows)
+    found = cells.search(cells.assigned(rows, centres), rows.where("vec_id % 50 = 0"), centres)
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def search_cells_recall(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings")
+    asked, centres = rows.where("vec_id % 50 = 0"), cells.fit(rows)
+    return cells.recall(cells.search(cells.assigned(rows, centres), asked, centres), vectors.search_all(rows, asked))
+
+
 @query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     """The streaming aggregate run over the whole table."""

@@ -155,13 +155,11 @@ class Engine:
         self.check_model()
         chunks, points = self.chunks.read(), self.points.read()
         documents = self.manifest.read().join(self.chunked.read().select(*KEY, "chunker"), KEY).withColumn("wanted", F.concat_ws("|", "chunker", F.lit(self.embedder.model)))
-        count = lambda df, name: df.groupBy(*KEY).agg(F.count("*").alias(name))
-        whole = documents.join(count(chunks, "nc"), KEY, "left").join(count(points, "np"), KEY, "left").where(F.coalesce("nc", F.lit(0)) == F.coalesce("np", F.lit(0)))
-        due = self._to_do(documents, "index", whole, force)
+        due = self._to_do(documents, "index", vectors.whole_documents(documents, chunks, points), force)
         rows = chunks.join(due.select(*KEY, "source", "rel_path", "metadata"), KEY).withColumn("_text", embedding_text(F.col("header"), F.col("text")))
         new = cut(self.embedder.transform(rows, "_text").drop("_text", "word_count"))
         self.points.replace_documents(new, due)
-        counts = count(new, "n")
+        counts = new.groupBy(*KEY).agg(F.count("*").alias("n"))
         done = due.join(counts, KEY, "left").select(*KEY, "rel_path", F.col("wanted").alias("version"), F.concat(F.coalesce("n", F.lit(0)).cast("string"), F.lit(" points")).alias("output"))
         self._mark(self._done(done, "index"))
         return done.select("rel_path", F.lit("indexed").alias("status"), F.col("output").alias("detail"))
