@@ -6,6 +6,9 @@ row is then put into the cell of its nearest centre. A question is compared with
 its own, so rows are not moved and a cell that holds a third of all rows costs no task more than
 its share. Written by cell, a table is read only where a question looks.
 
+How many cells a question looks into is fitted too: as many as hold ``TARGET`` of the true neighbours of
+questions from the sample, counted on the sample. Vectors without structure need many cells, clustered ones few.
+
 Null and zero vectors are in no cell. Ties are by key. Recall is measured against ``vectors.search_all``.
 """
 
@@ -21,30 +24,52 @@ from quire.operators.vectors import QUERY_BYTES, SCORES, best_of, key_values, nu
 
 #: Rows that the centres are fitted on, rows of the sample for each centre, centres at most, and rounds of fitting.
 SAMPLE, ROWS_A_CENTRE, MOST_CENTRES, ROUNDS = 20_000, 40, 1024, 12
+#: Questions of the sample, and the share of their neighbours that must lie in the cells they look into.
+QUESTIONS, TARGET = 500, 0.96
 
 
-def fit(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE) -> np.ndarray:
-    """The centres, as unit vectors: spherical k-means from points that lie far apart."""
+def sampled(vectors: DataFrame, key: str, vector: str, sample: int) -> np.ndarray:
     rows = vectors.where(F.col(vector).isNotNull()).select(key, vector).orderBy(F.xxhash64(key), key).limit(sample).toArrow().combine_chunks()
-    x = unit_rows(numbers(rows.column(vector).combine_chunks())[0])[0] if rows.num_rows else np.zeros((0, 1))
+    return unit_rows(numbers(rows.column(vector).combine_chunks())[0])[0] if rows.num_rows else np.zeros((0, 1))
+
+
+def centres_of(x: np.ndarray) -> np.ndarray:
+    """Unit vectors in the middle of cells: spherical k-means from points that lie far apart."""
     n = min(MOST_CENTRES, -(-len(x) // ROWS_A_CENTRE))
     if not n:
         return np.zeros((0, 1))
-    chosen = [0]
-    nearest = x @ x[0]
+    chosen, nearest = [0], x @ x[0]
     while len(chosen) < n:
         chosen.append(int(nearest.argmin()))
         nearest = np.maximum(nearest, x @ x[chosen[-1]])
     centres = x[chosen]
     for _ in range(ROUNDS):
-        cell = (x @ centres.T).argmax(1)
         total = np.zeros_like(centres)
-        np.add.at(total, cell, x)
+        np.add.at(total, (x @ centres.T).argmax(1), x)
         size = np.linalg.norm(total, axis=1, keepdims=True)
         centres = np.where(size > 0, total / np.maximum(size, 1e-12), centres)
     return centres
 
 
+def probes_of(x: np.ndarray, centres: np.ndarray, k: int, target: float = TARGET) -> int:
+    """The least number of nearest cells that hold ``target`` of the ``k`` nearest rows of the questions, among the sample."""
+    asked = x[:QUESTIONS]
+    if len(x) < 2:
+        return 1
+    scores = asked @ x.T
+    near = np.argpartition(-scores, min(k, len(x) - 1), axis=1)[:, : k + 1]  # a question is its own neighbour, as in a search
+    order = np.argsort(np.argsort(-(asked @ centres.T), axis=1, kind="stable"), axis=1, kind="stable")
+    place = np.take_along_axis(order, (x @ centres.T).argmax(1)[near], 1).ravel()
+    return int(np.quantile(place, target, method="higher")) + 1
+
+
+def fit(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5, sample: int = SAMPLE) -> tuple[np.ndarray, int]:
+    """The centres and the number of cells to look into."""
+    x = sampled(vectors, key, vector, sample)
+    centres = centres_of(x)
+    return centres, probes_of(x, centres, k)
+
+
 def assigned(vectors: DataFrame, centres: np.ndarray, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(key, vector, cell): every row with a vector, in the cell of its nearest centre."""
     shared = vectors.sparkSession.sparkContext.broadcast(centres)
@@ -61,7 +86,7 @@ def assigned(vectors: DataFrame, centres: np.ndarray, key: str = "vec_id", vecto
     return rows.mapInArrow(work, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", cell int")
 
 
-def search(indexed: DataFrame, queries: DataFrame, centres: np.ndarray, k: int = 5, probes: int = 8, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search(indexed: DataFrame, queries: DataFrame, centres: np.ndarray, probes: int, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, key, score, rank): the ``k`` best rows of each query among the cells it looks into."""
     spark, kind = indexed.sparkSession, indexed.schema[key].dataType.simpleString()
     schema = f"query_id {kind}, {key} {kind}, score double"

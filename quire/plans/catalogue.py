@@ -666,16 +666,16 @@ def tenant_points(spark: SparkSession, d: str) -> DataFrame:
 def search_cells(spark: SparkSession, d: str) -> DataFrame:
     """The approximate index over all rows, asked by every row whose id is divisible by 50; recall is tested against ``search_all``."""
     rows = table(spark, d, "embeddings")
-    centres = cells.fit(rows)
-    found = cells.search(cells.assigned(rows, centres), rows.where("vec_id % 50 = 0"), centres)
+    centres, probes = cells.fit(rows)
+    found = cells.search(cells.assigned(rows, centres), rows.where("vec_id % 50 = 0"), centres, probes)
     return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query()
 def search_cells_recall(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
-    asked, centres = rows.where("vec_id % 50 = 0"), cells.fit(rows)
-    return cells.recall(cells.search(cells.assigned(rows, centres), asked, centres), vectors.search_all(rows, asked))
+    asked, (centres, probes) = rows.where("vec_id % 50 = 0"), cells.fit(rows)
+    return cells.recall(cells.search(cells.assigned(rows, centres), asked, centres, probes), vectors.search_all(rows, asked))
 
 
 @query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
