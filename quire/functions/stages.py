@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -11,6 +13,8 @@ from quire.functions.tables import salted_join
 #: Rows and bytes of a small side up to which it is broadcast; measured before, never assumed.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 
+_WRITTEN: dict[str, list[str]] = {}
+
 
 def configured_folder(spark: SparkSession) -> str | None:
     """The folder that all executors share, as the cluster names it."""
@@ -35,6 +39,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept as a table in the shared folder until the session ends: for rows that are read several times.
+
+    A table takes a fraction of a checkpoint's room, since equal keys are stored once.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete the tables that ``written`` made for this session."""
+    for folder in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _at_the_end() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _WRITTEN:
+        try:
+            drop_written(spark)
+        except Exception:  # noqa: BLE001, S110 - the session is gone, and its folder with it
+            pass
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """Whether ``df`` (which should be cheap to read) has so few rows and bytes, told from its rows; strings and arrays are measured."""
     width = F.lit(0)
