@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quire.functions.stages import checked_join
+from quire.functions.stages import checked_join, written
 from quire.functions.tables import latest_rows
 from quire.llm.codepoints import BLANK, DIGIT, LETTER, CharMap, blocks, classes, decode, hash_ranges, tabulated
 from quire.llm.lookalikes import normalise
@@ -88,15 +88,13 @@ def document_sources(manifest: DataFrame) -> DataFrame:
     return latest_rows(rows, ["user_id", "doc_id"], ["updated_at"]).select("user_id", "doc_id", "source").where("source is not null")
 
 
-def frequent_lines(pages: DataFrame, manifest: DataFrame, min_share: float = MIN_SHARE, min_documents: int = MIN_DOCUMENTS, min_letters: int = MIN_LETTERS) -> DataFrame:
-    """(source, line_hash, n_documents, n_source): the frequent lines of every source.
+def frequent_among(lines: DataFrame, sources: DataFrame, min_share: float = MIN_SHARE, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """(source, line_hash, n_documents, n_source): the frequent ones of ``lines`` (user_id, doc_id, line_hash).
 
     A source has at most (lines of its mean document) / ``min_share`` of them. Counting goes over
     (source, line, document), so no source or line is gathered in one task.
     """
-    sources = document_sources(manifest)
     sizes = sources.groupBy("source").agg(F.count("*").alias("n_source"))
-    lines = page_lines(pages, min_letters).select("user_id", "doc_id", "line_hash")
     # each line of a document once before the join: combined on the map side
     each = lines.groupBy("user_id", "doc_id", "line_hash").agg(F.lit(1).alias("one"))
     counted = each.join(sources, ["user_id", "doc_id"]).groupBy("source", "line_hash").agg(F.count("*").alias("n_documents"))
@@ -105,11 +103,16 @@ def frequent_lines(pages: DataFrame, manifest: DataFrame, min_share: float = MIN
     return counted.join(sizes, "source").where(F.col("n_documents") >= F.col("n_source") * F.lit(min_share))
 
 
-def found_places(pages: DataFrame, manifest: DataFrame, **limits: float) -> DataFrame:
-    """(user_id, doc_id, number, line_no): every place of a frequent line, each once."""
-    frequent = frequent_lines(pages, manifest, **limits).select("source", "line_hash")
-    places = page_lines(pages, int(limits.get("min_letters", MIN_LETTERS))).join(document_sources(manifest), ["user_id", "doc_id"])
-    hits = checked_join(places, frequent, ["source", "line_hash"])
+def frequent_lines(pages: DataFrame, manifest: DataFrame, min_share: float = MIN_SHARE, min_documents: int = MIN_DOCUMENTS, min_letters: int = MIN_LETTERS) -> DataFrame:
+    """(source, line_hash, n_documents, n_source): the frequent lines of every source."""
+    return frequent_among(page_lines(pages, min_letters), document_sources(manifest), min_share, min_documents)
+
+
+def found_places(pages: DataFrame, manifest: DataFrame, min_share: float = MIN_SHARE, min_documents: int = MIN_DOCUMENTS, min_letters: int = MIN_LETTERS) -> DataFrame:
+    """(user_id, doc_id, number, line_no): every place of a frequent line, each once; texts are read and hashed once."""
+    lines, sources = written(page_lines(pages, min_letters)), document_sources(manifest)
+    frequent = frequent_among(lines, sources, min_share, min_documents).select("source", "line_hash")
+    hits = checked_join(lines.join(sources, ["user_id", "doc_id"]), frequent, ["source", "line_hash"])
     return hits.select("user_id", "doc_id", "number", "line_no").distinct()
 
 
