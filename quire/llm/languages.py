@@ -27,10 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.functions.stages import checked_join
+from quire.functions.stages import checked_join, written
 from quire.llm.codepoints import BLANK, DIGIT, LETTER, MARK, CharMap, blocks, classes, decode, hash_ranges, runs, tabulated
 from quire.llm.lookalikes import normalise
-from quire.llm.repeated_lines import document_sources, frequent_lines, line_hashes
+from quire.llm.repeated_lines import document_sources, frequent_among, normal_line_hashes
 from quire.llm.tokens import Tokens, counted
 
 LANGUAGES = ("ca", "es", "en", "fr")
@@ -40,7 +40,7 @@ MOST_WORDS, MOST_GRAMS, LONGEST = 50_000, 200_000, 5
 MIN_LETTERS, KNOWN_SHARE, PROSE_SHARE = 60, 0.15, 0.5
 #: Weight of a word scored by n-grams against a known one, and the scale that softens the sum of a paragraph to a confidence.
 GRAM_WEIGHT, SOFTNESS = 0.3, 6.0
-LINE_SCHEMA = "user_id string, doc_id string, number int, label string, paragraph int, line_no int, line_hash bigint, letters int, prose_letters int, known_letters int, " + ", ".join(f"{x} float" for x in LANGUAGES)
+LINE_SCHEMA = "user_id string, doc_id string, number int, paragraph int, line_no int, line_hash bigint, letters int, prose_letters int, known_letters int, " + ", ".join(f"{x} float" for x in LANGUAGES)
 
 
 @lru_cache(1)
@@ -197,15 +197,15 @@ def scored_lines(pages: DataFrame, model: Model) -> DataFrame:
             before = counted(starts_blank)
             paragraph = before[lines] - before[row_line[rows]] + 1
             hashes = np.zeros(len(lines), np.int64)
-            hr, hn, hh = line_hashes(raw, raw_offsets)
+            hr, hn, hh = normal_line_hashes(codes, offsets)
             at = np.searchsorted(lines, row_line[hr] + hn - 1)
             hashes[at] = hh
-            out = block.select(["user_id", "doc_id", "number", "language"]).take(pa.array(rows)).columns
+            out = block.select(["user_id", "doc_id", "number"]).take(pa.array(rows)).columns
             out += [pa.array(x, pa.int32()) for x in (paragraph, line_no)] + [pa.array(hashes)] + [pa.array(x.astype(np.int32)) for x in (letters, prose, known)]
             out += [pa.array(total(scores[:, k]).astype(np.float32)) for k in range(len(LANGUAGES))]
             yield pa.RecordBatch.from_arrays(out, names)
 
-    return pages.select("user_id", "doc_id", "number", "language", "text").mapInArrow(work, LINE_SCHEMA)
+    return pages.select("user_id", "doc_id", "number", "text").mapInArrow(work, LINE_SCHEMA)
 
 
 def best_language() -> tuple[Column, Column]:
@@ -220,19 +220,22 @@ def best_language() -> tuple[Column, Column]:
 
 
 def paragraphs(pages: DataFrame, manifest: DataFrame, documents: DataFrame) -> DataFrame:
-    """(user_id, doc_id, number, label, paragraph, letters, prose, lang, confidence) of every paragraph that holds a letter.
+    """(user_id, doc_id, number, paragraph, letters, prose, lang, confidence) of every paragraph that holds a letter.
 
-    One shuffle, by document: the join with the sources, the repeats and the sums all use it.
+    Texts are read, hashed and scored once. One shuffle of lines, by document: the join with the
+    sources, the repeats and the sums all use it.
     """
-    model = fit(documents)
-    frequent = frequent_lines(pages, manifest).select("source", "line_hash", F.lit(True).alias("frequent"))
-    lines = scored_lines(pages, model).join(document_sources(manifest), ["user_id", "doc_id"], "left")
-    lines = lines.dropDuplicates(["user_id", "doc_id", "number", "paragraph", "line_no"])
+    lines, sources = written(scored_lines(pages, fit(documents))), document_sources(manifest)
+    frequent = frequent_among(lines.where("line_hash <> 0"), sources).select("source", "line_hash", F.lit(True).alias("frequent"))
+    place = ["user_id", "doc_id", "number", "paragraph", "line_no"]
+    lines = lines.join(sources, ["user_id", "doc_id"], "left")
+    # rows of a page stored several times: each line once, whichever row it comes from
+    lines = lines.groupBy("source", *place).agg(*[F.max(x).alias(x) for x in ("line_hash", "letters", "prose_letters", "known_letters", *LANGUAGES)])
     kept = checked_join(lines, frequent, ["source", "line_hash"], "left").where("frequent is null")
-    sums = kept.groupBy("user_id", "doc_id", "number", "paragraph").agg(F.max("label").alias("label"), *[F.sum(x).alias(x) for x in ("letters", "prose_letters", "known_letters", *LANGUAGES)])
+    sums = kept.groupBy("user_id", "doc_id", "number", "paragraph").agg(*[F.sum(x).alias(x) for x in ("letters", "prose_letters", "known_letters", *LANGUAGES)])
     name, confidence = best_language()
     prose = (F.col("prose_letters") >= MIN_LETTERS) & (F.col("prose_letters") >= PROSE_SHARE * F.col("letters")) & (F.col("known_letters") >= KNOWN_SHARE * F.col("prose_letters"))
-    return sums.select("user_id", "doc_id", "number", "label", "paragraph", "letters", prose.alias("prose"), name.alias("lang"), confidence.alias("confidence"), *LANGUAGES)
+    return sums.select("user_id", "doc_id", "number", "paragraph", "letters", prose.alias("prose"), name.alias("lang"), confidence.alias("confidence"), *LANGUAGES)
 
 
 def labelled(label: Column) -> Column:
@@ -243,11 +246,17 @@ def labelled(label: Column) -> Column:
 
 def found_labels(pages: DataFrame, manifest: DataFrame, extracted: DataFrame, documents: DataFrame) -> DataFrame:
     """(user_id, doc_id, number, paragraph, lang): prose not in the label's language, and (number and paragraph 0) languages a document lacks."""
-    prose = paragraphs(pages, manifest, documents).where("prose").withColumn("label", labelled(F.col("label")))
+    prose = paragraphs(pages, manifest, documents).where("prose")
+    label = pages.select("user_id", "doc_id", "number", labelled(F.col("language")).alias("label")).where("label is not null and number is not null")
+    # where rows of a page carry several labels, the greatest counts
+    each = label.groupBy("user_id", "doc_id", "number").agg(F.max("label").alias("label"))
+    labels = each.groupBy("user_id", "doc_id").agg(F.map_from_entries(F.collect_list(F.struct("number", "label"))).alias("labels"))
     listed = extracted.groupBy("user_id", "doc_id").agg(F.array_distinct(F.flatten(F.collect_set("languages"))).alias("languages"))
     # the cases of pages and the language sets of documents in one aggregate, so that the paragraphs are made once
-    case = F.when(F.col("label").isNull() | (F.col("label") != F.col("lang")), F.struct("number", "paragraph", "lang"))
-    per_document = prose.groupBy("user_id", "doc_id").agg(F.collect_set(case).alias("cases"), F.collect_set("lang").alias("langs")).join(listed, ["user_id", "doc_id"], "left")
+    case = F.struct("number", "paragraph", "lang")
+    per_document = prose.groupBy("user_id", "doc_id").agg(F.collect_set(case).alias("all"), F.collect_set("lang").alias("langs")).join(listed, ["user_id", "doc_id"], "left").join(labels, ["user_id", "doc_id"], "left")
+    wrong = F.filter("all", lambda c: ~F.coalesce(F.element_at("labels", c["number"]) == c["lang"], F.lit(False)))
+    per_document = per_document.withColumn("cases", wrong)
     lacking = F.array_except("langs", F.coalesce("languages", F.array().cast("array<string>")))
     zero = F.transform(lacking, lambda x: F.struct(F.lit(0).alias("number"), F.lit(0).alias("paragraph"), x.alias("lang")))
     return per_document.select("user_id", "doc_id", F.explode(F.concat("cases", zero)).alias("c")).select("user_id", "doc_id", "c.number", "c.paragraph", "c.lang")

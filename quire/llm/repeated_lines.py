@@ -35,7 +35,11 @@ def lower_map() -> CharMap:
 
 def line_hashes(codes: np.ndarray, offsets: np.ndarray, min_letters: int = MIN_LETTERS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, line number from 1 and hash of every line of raw texts with at least ``min_letters`` letters."""
-    codes, offsets, _ = normalise(codes, offsets)
+    return normal_line_hashes(*normalise(codes, offsets)[:2], min_letters)
+
+
+def normal_line_hashes(codes: np.ndarray, offsets: np.ndarray, min_letters: int = MIN_LETTERS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of texts whose characters are in one form already."""
     codes, offsets, _ = lower_map().apply(codes, offsets)
     kinds = classes()[codes]
     n = len(offsets) - 1
