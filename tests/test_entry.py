@@ -26,6 +26,23 @@ def test_core_stands_without_the_text_operators(entry, monkeypatch):
     importlib.reload(entry)
 
 
+def test_a_fault_inside_the_text_operators_is_no_absence(entry, monkeypatch):
+    for name in [m for m in sys.modules if m.startswith("quire.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    real = __import__
+
+    def broken(name, *args, **kwargs):
+        if name.startswith("quire.llm"):
+            raise ModuleNotFoundError("No module named 'tiktoken'", name="tiktoken")
+        return real(name, *args, **kwargs)
+
+    monkeypatch.setattr("builtins.__import__", broken)
+    with pytest.raises(ModuleNotFoundError):
+        importlib.reload(entry)
+    monkeypatch.undo()
+    importlib.reload(entry)
+
+
 def test_nothing_else_imports_the_text_operators():
     for path in (ROOT / "quire").rglob("*.py"):
         if "llm" not in path.parts:
