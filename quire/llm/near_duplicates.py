@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quire.functions.stages import checked_join, cut
+from quire.functions.tables import salted_join
 from quire.llm.codepoints import DIGIT, LETTER, OTHER_NUMBER, blocks, classes, decode, hash_ranges, mix, runs
 from quire.llm.repeated_lines import lower_map
 
@@ -354,10 +355,16 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def chunk_groups(chunks: DataFrame, exact: bool = False) -> DataFrame:
-    """(chunk_id, group, n_links): every chunk of enough words once, with its group and the number of other texts it is linked to."""
+    """(chunk_id, group, n_links): every chunk of enough words once, with its group and the number of other texts it is linked to.
+
+    A group is named by its least chunk_id.
+    """
     links = cut(class_links(chunks, exact))
     nodes = long_classes(class_texts(chunks))
     degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
     named = components(nodes, links).join(degree, "class", "left")
-    rows = members(chunks).join(named, "class")
+    rows = cut(members(chunks).join(named, "class").withColumnRenamed("group", "number"))
+    names = rows.groupBy("number").agg(F.min("chunk_id").alias("group"))
+    # the names are as many as the groups; a group of many members is spread by the salts
+    rows = salted_join(rows.select("chunk_id", "number", "n_links"), names, ["number"])
     return rows.groupBy("chunk_id").agg(F.min("group").alias("group"), F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"))

@@ -93,7 +93,32 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_normalised, p1
 
 SUBJECTS_SQL = "SELECT DISTINCT metadata.subject AS s FROM manifest WHERE metadata.subject IS NOT NULL"
 
+LINKS_SQL = rf"""
+        c AS (SELECT DISTINCT chunk_id, text FROM chunks WHERE text IS NOT NULL AND chunk_id IS NOT NULL),
+        w AS (SELECT text, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM (SELECT DISTINCT text FROM c)),
+        k AS (SELECT text, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 30),
+        e AS (SELECT text, len(s) AS n, unnest(s) AS t FROM k),
+        p AS (SELECT a.text AS x, b.text AS y, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.t = b.t AND a.text <> b.text GROUP BY ALL),
+        l AS (SELECT x, y FROM p WHERE c >= 0.6 * (na + nb - c))
+"""
+# fixed values: the forms in which ASCII signs are stored at double width
+WIDE, NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
+FOLDED = lambda c: f"regexp_extract_all(strip_accents(lower(translate(nfc_normalize({c}), '{WIDE}', '{NARROW.replace(chr(39), chr(39) * 2)}'))), '[\\p{{L}}\\p{{N}}]+')"
+
 ORACLE_SQL: dict[str, str] = {
+    "p4_groups": f"""
+        WITH RECURSIVE {LINKS_SQL},
+        r AS (SELECT text, text AS g FROM k UNION SELECT l.y, r.g FROM r JOIN l ON l.x = r.text),
+        m AS (SELECT r.text, min(c.chunk_id) AS name FROM r JOIN c ON c.text = r.g GROUP BY r.text),
+        d AS (SELECT x AS text, count(*) AS n FROM l GROUP BY x)
+        SELECT chunk_id, min(name) AS "group", max(coalesce(d.n, 0)) AS n_links FROM c JOIN m USING (text) LEFT JOIN d USING (text) GROUP BY chunk_id
+    """,
+    "p8_found": f"""
+        WITH d AS (SELECT doc_id, {FOLDED("text")} AS w FROM documents), i AS (SELECT item_id, {FOLDED("text")} AS w FROM eval_items),
+        a AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM d WHERE len(w) >= 12),
+        b AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM i WHERE len(w) >= 12)
+        SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (g)
+    """,
     "p4_found": rf"""
         WITH c AS (SELECT DISTINCT chunk_id, text FROM chunks WHERE text IS NOT NULL AND chunk_id IS NOT NULL),
         w AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM c),
