@@ -7,7 +7,7 @@ points form one array, trigrams are numbers, and scores are gathered and summed
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,12 +33,55 @@ def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32), np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
 
 
+def framed(texts: pa.Array) -> pa.Array:
+    """Lower-case texts with everything but letters as one space, and a space at both ends."""
+    plain = pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}]+", " "))
+    return pc.binary_join_element_wise(" ", plain, " ", "")
+
+
+def grams_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The trigrams of all framed texts as numbers, and the text each belongs to."""
+    codes, starts = code_points(texts)
+    if len(codes) < 3:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    grams = gram_numbers(codes)
+    row = np.searchsorted(starts, np.arange(len(grams)), "right") - 1
+    inside = np.arange(len(grams)) + 2 < starts[row + 1]
+    return grams[inside], row[inside]
+
+
+def spelt(grams: np.ndarray) -> list[str]:
+    """The trigrams as text."""
+    codes = np.stack([grams >> 42, grams >> 21 & 0x1FFFFF, grams & 0x1FFFFF], 1).astype("<u4")
+    whole = codes.tobytes().decode("utf-32-le", "surrogatepass")
+    return [whole[i : i + 3] for i in range(0, len(whole), 3)]
+
+
+def cut_blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows with about ``BLOCK`` code points."""
+    ends = np.cumsum(pc.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, "right")))
+        yield at, to
+        at = to
+
+
 def trigram_counts(df: DataFrame, text: str, label: str) -> DataFrame:
-    """(label, gram, n): over lower-case texts with everything but letters as one space."""
-    plain = F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")
-    framed = F.concat(F.lit(" "), F.trim(plain), F.lit(" "))
-    grams = F.when(F.length("t") >= 3, F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda i: F.substr(F.col("t"), i, F.lit(3))))
-    return df.select(F.col(label).alias("label"), framed.alias("t")).where("t is not null").select("label", F.explode(grams).alias("gram")).groupBy("label", "gram").agg(F.count("*").alias("n"))
+    """(label, gram, n): over lower-case texts with everything but letters as one space; counted in the workers first. Null texts and labels count nothing."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to in cut_blocks(batch.column("text")):
+                names = batch.column("label").slice(at, to - at).dictionary_encode()
+                grams, row = grams_of(framed(batch.column("text").slice(at, to - at)))
+                number = names.indices.to_numpy(zero_copy_only=False)[row]
+                for k, name in enumerate(names.dictionary.to_pylist()):
+                    found, n = np.unique(grams[number == k], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(spelt(found), pa.string()), pa.array(n)], ["label", "gram", "n"])
+
+    rows = df.select(F.col(label).alias("label"), F.col(text).alias("text")).where("text is not null and label is not null")
+    return rows.mapInArrow(work, "label string, gram string, n bigint").groupBy("label", "gram").agg(F.sum("n").alias("n"))
 
 
 class TrigramModel:
@@ -59,14 +102,11 @@ class TrigramModel:
 
     def classify(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Number of the likeliest language of each text, and its share of the likelihood."""
-        plain = pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}]+", " "))
-        codes, starts = code_points(pc.binary_join_element_wise(" ", plain, " ", ""))
         total = np.zeros((len(texts), len(self.languages)))
-        if len(codes) > 2 and len(self.keys):
-            grams = gram_numbers(codes)
-            row = np.searchsorted(starts, np.arange(len(grams)), "right") - 1
+        grams, row = grams_of(framed(texts))
+        if len(grams) and len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
-            hit = np.flatnonzero((self.keys[at] == grams) & (np.arange(len(grams)) + 2 < starts[row + 1]))
+            hit = np.flatnonzero(self.keys[at] == grams)
             for k in range(len(self.languages)):
                 total[:, k] = np.bincount(row[hit], self.scores[at[hit], k], len(texts))
         p = np.exp(total - total.max(1, keepdims=True))
@@ -75,16 +115,13 @@ class TrigramModel:
 
     def detect_all(self, texts: pa.Array, min_chars: int = 20, min_confidence: float = 0.8) -> pa.Array:
         """The language of each text; null for null, for under ``min_chars`` letters and for a guess under ``min_confidence``."""
-        out, ends = [], np.cumsum(pc.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-        at = 0
-        while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, "right")))
+        out = []
+        for at, to in cut_blocks(texts):
             part = texts.slice(at, to - at).fill_null("")
             letters = pc.utf8_length(pc.replace_substring_regex(part, r"[^\p{L}]+", "")).to_numpy(zero_copy_only=False)
             best, confidence = self.classify(part)
             unsure = (letters < max(min_chars, 1)) | ~(confidence >= min_confidence)
             out.append(pa.array(np.array(self.languages, object)[best], pa.string(), mask=unsure))
-            at = to
         return pa.chunked_array(out, pa.string()).combine_chunks()
 
     def detect(self, text: str | None, min_chars: int = 20, min_confidence: float = 0.8) -> str | None:
