@@ -129,3 +129,35 @@ def test_trigram_model(spark):
     model = TrigramModel(trigram_counts(spark.createDataFrame(texts, "t string, l string"), "t", "l"), ("en", "es"))
     assert model.detect("the other cat sat with the mat") == "en" and model.detect("el otro gato en la alfombra") == "es"
     assert model.detect("the cat") is None and model.detect(None) is None and model.detect("zzzz qqqq wwww xxxx kkkk") is None
+
+
+def test_listing_totals_and_whole_documents(spark):
+    rows = spark.createDataFrame([("u", "b", "s", "z"), ("u", "a", "s", "z"), ("u", "c", "r", None), ("v", "a", "s", "q")], "user_id string, doc_id string, source string, rel_path string").withColumn("place", F.lit("clash"))
+    assert {(r["user_id"], r["doc_id"]): r["place"] for r in MF.listed(rows).collect()} == {("u", "c"): 1, ("u", "a"): 2, ("u", "b"): 3, ("v", "a"): 1}
+    stages = spark.createDataFrame([("u", "a", "chunk", "1"), ("u", "b", "chunk", "1"), ("u", "a", "index", None)], "user_id string, doc_id string, stage string, version string")
+    assert {tuple(r) for r in MF.stage_totals(stages).collect()} == {("chunk", "1", 2), ("index", None, 1)}
+    keys = rows.select("user_id", "doc_id")
+    chunks = spark.createDataFrame([("u", "a"), ("u", "a"), ("u", "b")], "user_id string, doc_id string")
+    points = spark.createDataFrame([("u", "a"), ("u", "b"), ("v", "a")], "user_id string, doc_id string")
+    assert {tuple(r) for r in vectors.whole_documents(keys, chunks, points).collect()} == {("u", "b"), ("u", "c")}
+    assert MF.listed(rows.limit(0)).count() == 0 and vectors.whole_documents(keys.limit(0), chunks, points).count() == 0
+
+
+def test_slugs_and_years(spark):
+    from quire.functions import metadata as M
+
+    df = spark.createDataFrame([("a_b1",), ("A b",), ("",), (None,), ("2024-25",), ("2024-26",)], "t string")
+    assert [r[0] for r in df.select(M.is_slug(F.col("t"))).collect()] == [True, False, False, None, False, False]
+    assert [r[0] for r in df.select(M.is_academic_year(F.col("t"))).collect()] == [False, False, False, None, True, False]
+
+
+def test_detection_is_the_same_in_any_batching(spark):
+    import pyarrow as pa
+
+    texts = [("the cat sat on the mat with the other cat", "en"), ("el gato se sienta en la alfombra con el otro gato", "es")]
+    model = TrigramModel(trigram_counts(spark.createDataFrame([*texts, (None, "en"), ("x", None), ("", "es")], "t string, l string"), "t", "l"), ("en", "es"))
+    many = [texts[i % 2][0] * (i % 5 + 1) if i % 7 else None for i in range(60)] + ["", "İİ", "漢字" * 20]
+    together = model.detect_all(pa.array(many, pa.string())).to_pylist()
+    assert together == [model.detect(t) for t in many] and together[1] == "es"
+    empty = TrigramModel(trigram_counts(spark.createDataFrame([], "t string, l string"), "t", "l"), ("en", "es"))
+    assert empty.detect("the cat sat on the mat again") is None and empty.detect_all(pa.array([], pa.string())).to_pylist() == []
